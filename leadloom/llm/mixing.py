@@ -10,8 +10,8 @@ from leadloom.plans.lineage import cut
 
 #: Ranks are summed up over so many slices of each source, so no task sorts a source.
 SLICES = 4096
-#: Bins for each doubling of the sizes, when inclusion odds are solved for.
-SIZE_BINS = 32
+#: A text longer than this part of its source's sample is given a chance in inverse proportion to its size.
+LARGE_PART = 64
 
 
 def distinct_texts(docs: DataFrame, id_col: str, text_col: str, source_col: str, targets: DataFrame) -> DataFrame:
@@ -40,24 +40,23 @@ def mix(sizes: DataFrame, targets: DataFrame, seed: int = 7) -> DataFrame:
     """(id, source, n, copies) of the texts that the mix uses, from `sizes` (id, source, n) with one row a text.
 
     The total is the largest that the scarcest source allows. Every text of a source gets its whole copies;
-    the tokens still missing come from a Pareto sample: a text's inclusion odds grow with its size, and texts
-    are ranked by random odds u / (1 - u) divided by inclusion odds p / (1 - p), u drawn from the id and the
+    the tokens still missing come from a Pareto sample: chances are alike but for very long texts, whose
+    chances fall with their size, so that one text can't outweigh a share. Texts are ranked by random odds u / (1 - u) divided by inclusion odds p / (1 - p), u drawn from the id and the
     seed. Ranks are taken from the lowest until the missing tokens are reached. Sources without a target,
     without texts or with a target of 0 are left out. Sums over the ranks go by slices of each source, so
     no source is sorted in one task.
     """
     s = cut(sizes.where("n > 0 and source is not null"))
     plan = _mixed(s, targets)
-    # inclusion chance min(1, k n) with the sum of chance times size at the missing tokens: k from binned sizes
-    bins = s.groupBy("source", F.floor(F.log2(F.col("n").cast("double")) * SIZE_BINS).alias("bin")).agg(F.count("*").alias("c"), F.sum("n").alias("t"))
-    b = bins.withColumn("size", F.col("t") / F.col("c")).join(plan.select("source", "sampled"), "source")
-    down = W.partitionBy("source").orderBy(F.desc("size"), F.desc("bin"))
-    b = b.withColumn("above", F.sum("t").over(down.rowsBetween(W.unboundedPreceding, -1))).withColumn("below", F.sum(F.col("t") * F.col("size")).over(down.rowsBetween(W.currentRow, W.unboundedFollowing)))
-    b = b.withColumn("k", (F.col("sampled") - F.coalesce("above", F.lit(0))) / F.col("below"))
-    # the first bin, from the largest sizes down, that its k doesn't make certain
-    k = b.where("k * size <= 1").groupBy("source").agg(F.max_by("k", "size").alias("k"))
-    d = s.join(plan.select("source", "whole", "sampled"), "source").join(k, "source", "left")
-    p = F.least(F.lit(1.0), F.greatest(F.coalesce("k", F.lit(1.0)), F.lit(1e-12)) * F.col("n"))
+    # a chance proportional to w = min(1, large / size) and at most 1, with the sum of chance times size at the missing tokens
+    large = F.col("sampled") / LARGE_PART
+    w = F.least(F.lit(1.0), large / F.col("n"))
+    d = s.join(plan.select("source", "whole", "sampled"), "source")
+    sums = d.groupBy("source").agg(F.first("sampled").alias("sampled"), F.coalesce(F.sum(F.when(F.col("n") <= large, F.col("n"))), F.lit(0)).alias("small"), F.coalesce(F.sum(F.when(F.col("n") > large, large)), F.lit(0.0)).alias("big"))
+    k = sums.select("source", (F.col("sampled") / F.greatest(F.col("small") + F.col("big"), F.lit(1.0))).alias("k"), F.greatest(F.col("sampled") - F.col("small"), F.lit(0.0)).alias("over"), "big")
+    k = k.select("source", "k", F.when((F.col("k") > 1) & (F.col("big") > 0), F.col("over") / F.col("big")).otherwise(F.col("k")).alias("k_big"))
+    d = d.join(k, "source")
+    p = F.least(F.lit(1.0), F.greatest(F.when(F.col("n") <= large, F.col("k")).otherwise(F.col("k_big")) * w, F.lit(1e-9)))
     u = (F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1 << 52)).cast("double") + 0.5) / float(1 << 52)
     q = F.when(p >= 1.0, F.lit(0.0)).otherwise((u / (1 - u)) / (p / (1 - p)))
     d = d.withColumn("q", q).withColumn("slice", F.floor(F.col("q") / (F.col("q") + 1) * SLICES).cast("int"))

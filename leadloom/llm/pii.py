@@ -27,8 +27,8 @@ _NOT_PERSONAL = regex.compile(
     regex.I,
 )
 _ID_CUE = regex.compile(
-    r"\b(?:SSN|social security(?: number| no\.?)?|passport|pass|reisepass|passeport|pasaporte|driver'?s? licen[cs]e|licen[cs]e|permis|führerschein|carnet|DNI|NIE|NIF|ID(?:[- ]?(?:card|no\.?|number|nr\.?))?|ausweis(?:nummer|nr\.?)?|personalausweis|carte d[’']identité|numéro de sécu(?:rité sociale)?|sécu|NIR|national insurance(?: number)?|steuer-?id|CNI)"
-    r"(?:\s*(?:no|nr|number|nummer|num|n[º°])\b\.?|\s*#|\s*:|\s+(?:is|was|ist|lautet|est|es))?\s*[:#]?\s*[(\[]?"
+    r"\b(?i:SSN|social security(?: number| no\.?)?|passport|pass|reisepass|passeport|pasaporte|driver'?s? licen[cs]e|licen[cs]e|permis|führerschein|carnet|DNI|NIE|NIF|ID(?:[- ]?(?:card|no\.?|number|nr\.?))?|ausweis(?:nummer|nr\.?)?|personalausweis|carte d[’']identité|numéro de sécu(?:rité sociale)?|sécu|NIR|national insurance(?: number)?|steuer-?id|CNI)"
+    r"(?:\s*(?i:no|nr|number|nummer|num|n[º°])\b\.?|\s*#|\s*:|\s+(?:is|was|ist|lautet|est|es))?\s*[:#]?\s*[(\[]?"
     r"(?P<v>(?=[A-Z0-9 .\-/]*\d)[A-Z0-9]+(?:[ .\-/]?[A-Z0-9]+)*+)",
 )
 _ID_SHAPE = regex.compile(
@@ -41,7 +41,7 @@ _ID_SHAPE = regex.compile(
     r")(?![\w\-/]|\.\d)"
 )
 _PHONE = regex.compile(
-    r"(?<![\w.\-/+#$€£:])(?:"
+    r"(?<![\w.\-/+#$€£])(?:"
     r"(?:\+|00)\d{1,3}[ .\-/]?(?:\(\d{1,4}\)[ .\-/]?)?\d{1,5}(?:[ .\-/]?\d{2,5}){1,5}"  # with a country code
     r"|(?:1[ .\-]?)?\(\d{3}\)[ .\-]?\d{3}[ .\-]?\d{4}|(?:1[ .\-])?\d{3}([ .\-])\d{3}\1\d{4}|1?\d{10}"  # ten digits
     r"|\(0\d{2,5}\)[ /.\-]?\d{3,9}(?:[ \-]\d{2,6})*|0\d{2,5}(?: ?[/\-] ?| )\d{3,9}(?:[ \-]\d{2,6})*"  # area code with 0
@@ -90,12 +90,11 @@ _NO_NAME = frozenset(
     "everyone everybody someone somebody anyone anybody nobody all both them him us me who which what when where staff team crew owner manager "
     "no not never yes great good best nice very really honest price prices quote cash card".split()
 )
-_START_WORDS = frozenset("would could should great honest prices parking best summer grace mark may faith they the i came front".split())
 
 
 def _usable_name(value: str) -> bool:
     words = [w.lower().strip(".") for w in value.split()]
-    return bool(words) and not any(w in _NO_NAME for w in words)
+    return any(len(w) > 1 for w in words) and not any(w in _NO_NAME and len(w) > 1 for w in words)
 
 
 def find_mentions(text: str) -> list[tuple[str, int, int]]:

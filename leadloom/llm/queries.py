@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leadloom.llm import lookalike, mixing, packing, pii, quality, tokens
+from leadloom.llm import lookalike, mixing, names, packing, pii, quality, tokens
 from leadloom.sources.tables import present, table, unique_records
 
 #: Keys the surrogates of the query; a deployment passes its own.
@@ -28,6 +28,24 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookalike.inconsistent_fields(leads, "record_id", fields).select("record_id", "field_name")
 
 
+def _town(city: str, *others: str):
+    """The town in one form: the city, else what stands before the comma of a source's location, else of a query."""
+    raw = F.coalesce(present(F.col(city)), *[present(F.regexp_replace(F.col(c), r"(?i)^.*\\s(?:in|near)\\s+|,.*$", "")) for c in others])
+    return F.coalesce(F.lower(F.trim(raw)), F.lit(""))
+
+
+def _parsed_leads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    leads = unique_records(table(spark, sf_dir, "leads"), "business_name", "category", "city", "source_location", "source_query", "website")
+    history = unique_records(table(spark, sf_dir, "records"), "name_key", "normalized_phone")
+    d = leads.join(history, "record_id", "left")
+    d = d.select("record_id", F.coalesce(present(F.col("business_name")), "name_key").alias("name"), present(F.col("category")).alias("category"), _town("city", "source_location", "source_query").alias("town"), present(F.col("website")).alias("website"), F.col("normalized_phone").alias("phone"))
+    return names.parsed(d, "name", "category", "town", "website")
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return names.entity_pairs(names.linked_records(_parsed_leads(spark, sf_dir)))
+
+
 def _sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", tokens.token_count(F.col("text")).alias("n_tokens"))
 
@@ -70,6 +88,7 @@ QUERIES = {
     "p4_found": p4_found,
     "p4_surrogates": p4_surrogates,
     "p6_found": p6_found,
+    "p7_found": p7_found,
     "p8_containers": p8_containers,
     "p8_report": p8_report,
     "p9_mix": p9_mix,
