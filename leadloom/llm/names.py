@@ -122,6 +122,8 @@ def trade_of_category(category: str) -> str:
 
 def _glued(word: str) -> list[str]:
     """Parts of a word in which a trade is written on to a name."""
+    if _trade_word(word) or _general(word):
+        return [word]
     for w in _LONG_TRADE_WORDS:
         if len(word) > len(w) + 3:
             if word.endswith(w):

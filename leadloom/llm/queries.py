@@ -5,13 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leadloom.llm import lookalike, mixing, names, packing, pii, quality, tokens
+from leadloom.llm import addresses, lookalike, mixing, names, packing, pii, quality, tokens
 from leadloom.sources.tables import present, table, unique_records
 
 #: Keys the surrogates of the query; a deployment passes its own.
 SECRET = "test key"
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fields = ["address", "full_address", "city", "state", "postal_code", "source_location", "source_query"]
+    d = unique_records(table(spark, sf_dir, "leads"), *fields)
+    d = d.select("record_id", _town("city", "source_location", "source_query").alias("town"), *[present(F.col(c)).alias(c) for c in ("address", "full_address", "state", "postal_code")])
+    return addresses.same_place_pairs(addresses.address_parts(d, "address", "full_address", "town", "state", "postal_code"))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     reviews = unique_records(table(spark, sf_dir, "leads"), "top_review").withColumn("top_review", present(F.col("top_review")))
     return pii.mentions(reviews, "record_id", "top_review").select("record_id", "kind", "start_pos")
@@ -85,6 +92,7 @@ def p10_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "p3_found": p3_found,
     "p4_found": p4_found,
     "p4_surrogates": p4_surrogates,
     "p6_found": p6_found,
