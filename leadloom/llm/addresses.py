@@ -32,6 +32,8 @@ STATES = {
 _STATE_NAMES = "|".join(sorted(STATES.values(), key=len, reverse=True))
 _POSTAL = re.compile(r"\b(?:[a-z]{1,2}\d[a-z\d]?\s?\d[a-z]{2}|[a-z]\d[a-z]\s?\d[a-z]\d|(?:d|f|e)-\d{5}|\d{5}-\d{4})\b|(?<![\w-])[\dol]{5}(?![\w-])")
 _COMPOUND = re.compile(r"^(\w{3,}?)-?(strasse|str|weg|gasse|allee|platz|ufer|ring|damm|chaussee)$")
+#: Number words of numbered streets and their figures.
+ORDINALS = dict(zip("first second third fourth fifth sixth seventh eighth ninth tenth eleventh twelfth".split(), "1st 2nd 3rd 4th 5th 6th 7th 8th 9th 10th 11th 12th".split()))
 _NUMBER = re.compile(r"^\d{1,5}[a-z]?$")
 
 
@@ -44,6 +46,12 @@ def postal_key(postal: str | None) -> str:
     return re.sub(r"[^a-z0-9]", "", p)
 
 
+def postal_in(full: str | None) -> str:
+    """The last postal code written in a full address."""
+    found = list(_POSTAL.finditer(fold(full))) if full else []
+    return postal_key(found[-1].group()) if found else ""
+
+
 def street_part(address: str | None, full: str | None, town: str, state: str | None, postal: str | None) -> dict | None:
     """number, street words, type and direction of an address; None where there is no street with a number.
 
@@ -60,7 +68,7 @@ def street_part(address: str | None, full: str | None, town: str, state: str | N
 
 
 def _street(raw: str, town: str, state: str | None, whole: bool) -> dict | None:
-    text = re.sub(r"\bn[o°º]\.?\s*(?=\d)", " ", fold(raw))
+    text = re.sub(r"\bn[or°º]\.?\s*(?=\d)", " ", fold(raw))
     text = re.sub(r"\bbis\b|\bquater\b|\bter\b(?=\s)", lambda m: m.group() if m.group() == "ter" else "bis", text)
     text = re.sub(r"(\d)\s+bis\b", r"\1b", text)
     segments = [x.strip() for x in re.split(r"[,\n|·;]|\s-\s", _UNITS.sub(",", text)) if x.strip()]
@@ -122,6 +130,7 @@ def _parts(words: list[str]) -> dict | None:
     rest = [w for i, w in enumerate(rest) if not (_NUMBER.match(w) or (len(w) == 1 and w not in DIRECTIONS and w not in STREET_TYPES))]
     split = []
     for w in rest:
+        w = ORDINALS.get(w, w)
         m = _COMPOUND.match(w)
         split += [m.group(1), m.group(2)] if m and m.group(1) not in STREET_TYPES else [w]
     # a hyphenated compound comes as two words already
@@ -148,7 +157,7 @@ def address_parts(df: DataFrame, address: str, full: str, town: str, state: str,
         out = []
         for x in zip(a, f, t, s, p):
             got = street_part(*x)
-            out.append({"number": None, "core": None, "kind": None, "way": None, "postal": None} if got is None else got | {"postal": postal_key(x[4])})
+            out.append({"number": None, "core": None, "kind": None, "way": None, "postal": None} if got is None else got | {"postal": postal_key(x[4]) or postal_in(x[1])})
         return pd.DataFrame(out, columns=["number", "core", "kind", "way", "postal"])
 
     return df.withColumn("place", parse(address, full, town, state, postal))
@@ -164,12 +173,17 @@ MOST_ROUNDS = 8
 def _leave_one_out(forms: DataFrame) -> DataFrame:
     """(slot, context, token, n): the words of `forms` with all that they agree in elsewhere.
 
-    A core word's context is town, number and postal code with the other core words, a type's with the core.
+    A core word's context is town and number with the other core words and the postal code, or the type where
+    there is no postal code in one of the two; a type's is town, number, postal code and core.
     """
     same = F.concat_ws("|", "town", "number", "postal")
+    by_kind = F.concat_ws("|", "town", "number", F.lit("kind"), "kind", "way")
     core = F.transform("core", lambda t, i: F.struct(F.lit("core").alias("slot"), F.concat_ws("|", same, F.array_join(F.filter(F.col("core"), lambda x, j: j != i), " ")).alias("context"), t.alias("token")))
-    kind = F.when(F.col("kind") != "", F.array(F.struct(F.lit("kind").alias("slot"), F.concat_ws("|", same, F.array_join("core", " ")).alias("context"), F.col("kind").alias("token")))).otherwise(F.array().cast("array<struct<slot:string,context:string,token:string>>"))
-    return forms.where("postal <> ''").select("n", F.explode(F.concat(core, kind)).alias("x")).select("x.*", "n").groupBy("slot", "context", "token").agg(F.sum("n").alias("n"))
+    typed = F.transform("core", lambda t, i: F.struct(F.lit("typed").alias("slot"), F.concat_ws("|", by_kind, F.array_join(F.filter(F.col("core"), lambda x, j: j != i), " ")).alias("context"), t.alias("token")))
+    none = F.array().cast("array<struct<slot:string,context:string,token:string>>")
+    kind = F.when((F.col("kind") != "") & (F.col("postal") != ""), F.array(F.struct(F.lit("kind").alias("slot"), F.concat_ws("|", same, F.array_join("core", " ")).alias("context"), F.col("kind").alias("token")))).otherwise(none)
+    all_slots = F.concat(F.when(F.col("postal") != "", core).otherwise(none), F.when(F.col("kind") != "", typed).otherwise(none), kind)
+    return forms.select("n", F.explode(all_slots).alias("x")).select("x.*", "n").groupBy("slot", "context", "token").agg(F.sum("n").alias("n"))
 
 
 def _log_term(k: Column, expected: Column) -> Column:
@@ -212,8 +226,10 @@ def mine_rewrites(forms: DataFrame) -> DataFrame:
     rare = F.col("times_a") * 5 <= F.col("times_b")
     unlike = (k11 >= LEAST_CONTEXTS) & (k11 / a >= LEAST_SHARE) & (ratio > SIGNIFICANT)
     core_ok = F.when(both_digits, F.lit(False)).when(digits, unlike).otherwise((misspelt & (rare | (k11 / a >= LEAST_SHARE))) | unlike)
-    kind_ok = (abbreviated | misspelt) & ((k11 >= 2) | rare | (ratio > SIGNIFICANT)) | unlike
-    kept = p.where(F.when(F.col("slot") == "kind", kind_ok).otherwise(core_ok))
+    kind_ok = abbreviated | misspelt | unlike
+    typed_ok = misspelt & ~digits & (rare | (k11 / a >= LEAST_SHARE))  # without a postal code only words that are alike
+    kept = p.where(F.when(F.col("slot") == "kind", kind_ok).when(F.col("slot") == "typed", typed_ok).otherwise(core_ok))
+    kept = kept.withColumn("slot", F.when(F.col("slot") == "typed", "core").otherwise(F.col("slot")))
     best = kept.groupBy("slot", "token").agg(F.max_by("by", F.struct("both", "times_b", "by")).alias("by"))
     return best
 

@@ -162,6 +162,8 @@ for _c, _latin in LATIN_LOOKALIKES.items():
 
 def consistent(text: str) -> str:
     """The one form of a text: letters of its own script, standard widths, composed accents, plain spaces."""
+    if text.isascii():  # no rule begins with an ASCII character alone
+        return text
     return _borrowed(form_transducer()(text))
 
 

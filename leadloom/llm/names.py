@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from functools import lru_cache
+from functools import cache, lru_cache
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leadloom.llm.components import component_labels
@@ -66,14 +66,27 @@ _LONG_TRADE_WORDS = sorted((w for w in _TRADE_OF if len(w) >= 6), key=len, rever
 
 def fold(text: str) -> str:
     """Lower case without accents, in the consistent form of lookalike."""
+    if text.isascii():
+        return text.lower()
     t = unicodedata.normalize("NFKD", consistent(text)).lower().replace("ß", "ss")
     return "".join(c for c in t if not unicodedata.combining(c))
 
 
 def distance(a: str, b: str, most: int) -> int:
     """Edit distance with swaps of neighbours as one edit, or most + 1 where it is greater than `most`."""
+    if a == b:
+        return 0
     if abs(len(a) - len(b)) > most:
         return most + 1
+    if most == 1:  # what is left after the common beginning and end tells
+        i, n = 0, min(len(a), len(b))
+        while i < n and a[i] == b[i]:
+            i += 1
+        j = 0
+        while j < n - i and a[-1 - j] == b[-1 - j]:
+            j += 1
+        x, y = a[i : len(a) - j], b[i : len(b) - j]
+        return 1 if max(len(x), len(y)) <= 1 or (len(x) == len(y) == 2 and x == y[::-1]) else 2
     before, row = None, list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
         last, before, row = before, row, [i] + [0] * len(b)
@@ -86,32 +99,60 @@ def distance(a: str, b: str, most: int) -> int:
     return row[-1] if row[-1] <= most else most + 1
 
 
+def _deletions(word: str, most: int) -> set[str]:
+    """The word with up to `most` letters left out."""
+    out = {word}
+    for _ in range(most):
+        out |= {w[:i] + w[i + 1 :] for w in out for i in range(len(w))}
+    return out
+
+
+class Lexicon:
+    """Words that are found again with a slip or two: two words a few edits apart share a form with letters left out."""
+
+    def __init__(self, words: dict[str, str], least: int, long: int = 10):
+        self.words, self.least, self.long = words, least, long
+        self.forms: dict[str, list[str]] = {}
+        for w in words:
+            if len(w) >= least:
+                for form in _deletions(w, 2 if len(w) >= long else 1):
+                    self.forms.setdefault(form, []).append(w)
+
+    def find(self, word: str) -> str:
+        """What the word itself means, or the nearest that begins alike; "" for none."""
+        if word in self.words:
+            return self.words[word]
+        if len(word) < self.least - 1:
+            return ""
+        best = (3, "", "")
+        for form in _deletions(word, 2 if len(word) >= self.long - 1 else 1):
+            for w in self.forms.get(form, ()):
+                most = 2 if len(w) >= self.long else 1
+                if w[0] in word[:2] and (d := distance(word, w, most)) <= most:
+                    best = min(best, (d, w, self.words[w]))
+        return best[2]
+
+
+@cache
+def _lexicons() -> tuple[Lexicon, Lexicon, Lexicon]:
+    general = {w: w for w in GENERIC if len(w) > 1} | {w: w for w in _SIDE_OF}
+    return Lexicon(_TRADE_OF, 6), Lexicon(general, 7, 99), Lexicon(NICKNAMES | {g: g for g in GIVEN}, 6, 99)
+
+
 @lru_cache(200_000)
 def _trade_word(word: str) -> str:
-    """The trade of a word, allowing for one slip in a long one; "" for others."""
-    if word in _TRADE_OF:
-        return _TRADE_OF[word]
-    if len(word) >= 5:
-        for w, t in _TRADE_OF.items():
-            if len(w) >= 6 and w[0] in word[:2] and distance(word, w, 1 if len(w) < 10 else 2) <= (1 if len(w) < 10 else 2):
-                return t
-    return ""
+    """The trade of a word, allowing for a slip in a long one; "" for others."""
+    return _lexicons()[0].find(word)
 
 
 @lru_cache(200_000)
 def _general(word: str) -> bool:
-    return word in GENERIC or word in _SIDE_OF or (len(word) >= 6 and any(len(g) >= 7 and distance(word, g, 1) <= 1 for g in GENERIC))
+    return word in GENERIC or bool(_lexicons()[1].find(word))
 
 
-@lru_cache(50_000)
+@lru_cache(100_000)
 def _given(word: str) -> str:
-    if word in NICKNAMES:
-        return NICKNAMES[word]
-    if word in GIVEN:
-        return word
-    if len(word) >= 6:
-        return next((g for g in GIVEN if g[0] == word[0] and distance(word, g, 1) <= 1), "")
-    return ""
+    return _lexicons()[2].find(word)
 
 
 @lru_cache(50_000)
@@ -120,17 +161,18 @@ def trade_of_category(category: str) -> str:
     return next((t for w in words if (t := _trade_word(w))), next((_SIDE_OF[w][0] for w in words if len(_SIDE_OF.get(w, ())) == 1), ""))
 
 
-def _glued(word: str) -> list[str]:
+@lru_cache(200_000)
+def _glued(word: str) -> tuple[str, ...]:
     """Parts of a word in which a trade is written on to a name."""
     if _trade_word(word) or _general(word):
-        return [word]
+        return (word,)
     for w in _LONG_TRADE_WORDS:
         if len(word) > len(w) + 3:
             if word.endswith(w):
-                return [word[: -len(w)], w]
+                return (word[: -len(w)], w)
             if word.startswith(w):
-                return [w, word[len(w) :]]
-    return [word]
+                return (w, word[len(w) :])
+    return (word,)
 
 
 def parse_name(name: str | None, category: str | None, town: str) -> dict:
@@ -253,10 +295,6 @@ def metric_pairs(points: DataFrame, radius: int = RADIUS) -> DataFrame:
     return j.withColumn("edits", F.levenshtein("s_l", "s_r", radius)).where("edits >= 0").select("block", "s_l", "s_r", "l", "r", "edits")
 
 
-def _allowed(s: Column) -> Column:
-    return F.when(F.length(s) < 5, 0).when(F.length(s) < 7, 1).when(F.length(s) < 14, 2).otherwise(3)
-
-
 def linked_records(records: DataFrame) -> DataFrame:
     """(record_id, entity) for records (record_id, town, parts, phone) with a name: records of one business share entity.
 
@@ -268,25 +306,25 @@ def linked_records(records: DataFrame) -> DataFrame:
     """
     p = F.col("parts")
     d = records.where((F.col("town") != "") & ((F.size(p["core"]) > 0) | (p["host"] != ""))).select("record_id", "town", F.array_join(p["core"], " ").alias("core"), p["given"].alias("given"), p["trade"].alias("trade"), p["latin"].alias("latin"), p["host"].alias("host"), F.coalesce("phone", F.lit("")).alias("phone"))
-    # the phone tells nodes apart only where it is a point
-    d = d.withColumn("phone", F.when(F.col("phone") == "", "").otherwise(F.col("phone")))
+    d = cut(d.dropDuplicates(["record_id"]))
+    # a phone is a point only where a name in other letters has it
+    foreign_phones = d.where("not latin and phone <> ''").select("town", "phone").distinct().withColumn("called", F.lit(True))
+    d = d.join(foreign_phones, ["town", "phone"], "left").withColumn("phone", F.when(F.col("called"), F.col("phone")).otherwise("")).drop("called")
     keys = ["town", "core", "given", "trade", "latin", "host", "phone"]
     nodes = cut(d.groupBy(*keys).agg(F.min("record_id").alias("node")))
     words = F.split("core", " ")
-    foreign_phones = nodes.where("not latin and phone <> ''").select("town", "phone").distinct().withColumn("called", F.lit(True))
-    nodes_p = nodes.join(foreign_phones, ["town", "phone"], "left")
     pts = F.array_compact(
         F.concat(
             F.array(
                 F.when((F.col("core") != "") & F.col("latin"), F.struct(F.lit("F").alias("kind"), F.array_join(words, "").alias("s"))),
                 F.when((F.col("core") != "") & ~F.col("latin"), F.struct(F.lit("X").alias("kind"), F.array_join(words, "").alias("s"))),
                 F.when(F.col("host") != "", F.struct(F.lit("H").alias("kind"), F.col("host").alias("s"))),
-                F.when(F.col("called"), F.struct(F.lit("P").alias("kind"), F.concat(F.lit("tel"), F.regexp_replace("phone", r"\D", "")).alias("s"))),
+                F.when(F.col("phone") != "", F.struct(F.lit("P").alias("kind"), F.concat(F.lit("tel"), F.regexp_replace("phone", r"\D", "")).alias("s"))),
             ),
             F.when(F.col("latin") & (F.size(words) > 1), F.transform(words, lambda w: F.struct(F.lit("T").alias("kind"), w.alias("s")))).otherwise(F.array().cast("array<struct<kind:string,s:string>>")),
         )
     )
-    points = nodes_p.select("town", "trade", "given", "node", "host", F.explode(pts).alias("x")).where(F.length("x.s") >= 3)
+    points = nodes.select("town", "trade", "given", "node", "host", F.explode(pts).alias("x")).where(F.length("x.s") >= 3)
     known = points.select("town", "trade").where("trade <> ''").distinct()
     everywhere = points.where("trade = ''").drop("trade").join(known, "town")
     points = points.unionByName(everywhere)

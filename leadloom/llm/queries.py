@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leadloom.llm import addresses, lookalike, mixing, names, packing, pii, quality, tokens
+from leadloom.llm import addresses, history, lookalike, mixing, names, packing, pii, quality, tokens
 from leadloom.sources.tables import present, table, unique_records
 
 #: Keys the surrogates of the query; a deployment passes its own.
@@ -29,6 +29,30 @@ def p4_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.with_surrogates(reviews, "record_id", "top_review", SECRET)
 
 
+def _keyed(df: DataFrame) -> DataFrame:
+    """Identity fields in one form, one row a record: the one first accepted or first to arrive."""
+    return history.keyed(df.where("record_id is not null"))
+
+
+def _history_and_batches(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    fields = ["record_id", "kgmid", "canonical_domain", "normalized_phone", "name_key", "city", "raw_json"]
+    old = table(spark, sf_dir, "records").where("stage = 'committed'").select(*fields, F.coalesce("committed_row", F.lit(0)).cast("double").alias("ord"))
+    new = table(spark, sf_dir, "incoming").select(*fields, F.col("batch_no").alias("batch"), F.col("seq_no").cast("double").alias("ord"))
+    first = new.groupBy("record_id").agg(F.min("ord").alias("ord"))
+    new = new.join(first, ["record_id", "ord"], "left_semi")
+    return _keyed(old).withColumn("id", F.col("record_id")), _keyed(new).withColumn("id", F.col("record_id"))
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = history.accepted_pairs(*_history_and_batches(spark, sf_dir)).where("id <> accepted")
+    return pairs.select(F.least("id", "accepted").alias("id_a"), F.greatest("id", "accepted").alias("id_b"))
+
+
+def p5_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    old, _ = _history_and_batches(spark, sf_dir)
+    return history.HistoryIndex.of(old.select("town", F.lit(0).alias("batch"), "id", "ord", "k")).recalls()
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     fields = ["business_name", "category"]
     leads = unique_records(table(spark, sf_dir, "leads"), *fields)
@@ -42,8 +66,8 @@ def _town(city: str, *others: str):
 
 
 def _parsed_leads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    leads = unique_records(table(spark, sf_dir, "leads"), "business_name", "category", "city", "source_location", "source_query", "website")
-    history = unique_records(table(spark, sf_dir, "records"), "name_key", "normalized_phone")
+    leads = table(spark, sf_dir, "leads").select("record_id", "business_name", "category", "city", "source_location", "source_query", "website").where("record_id is not null")
+    history = table(spark, sf_dir, "records").select("record_id", "name_key", "normalized_phone")
     d = leads.join(history, "record_id", "left")
     d = d.select("record_id", F.coalesce(present(F.col("business_name")), "name_key").alias("name"), present(F.col("category")).alias("category"), _town("city", "source_location", "source_query").alias("town"), present(F.col("website")).alias("website"), F.col("normalized_phone").alias("phone"))
     return names.parsed(d, "name", "category", "town", "website")
@@ -95,6 +119,8 @@ QUERIES = {
     "p3_found": p3_found,
     "p4_found": p4_found,
     "p4_surrogates": p4_surrogates,
+    "p5_found": p5_found,
+    "p5_recall": p5_recall,
     "p6_found": p6_found,
     "p7_found": p7_found,
     "p8_containers": p8_containers,
