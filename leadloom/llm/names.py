@@ -175,6 +175,24 @@ def _glued(word: str) -> tuple[str, ...]:
     return (word,)
 
 
+_ENDINGS = sorted((w for w in GENERIC if len(w) >= 5), key=len, reverse=True)
+
+
+def _unglued(word: str, place: list[str]) -> list[str]:
+    """Words of a name that is written as one, such as a name key: the, general endings and the town go off it."""
+    word = word.removeprefix("the") if len(word) > 12 else word
+    out: list[str] = []
+    again = True
+    while again:
+        again = False
+        for w in [*place, *_ENDINGS]:
+            if len(word) > len(w) + 5 and word.endswith(w):
+                word, again = word[: -len(w)], True
+                out.insert(0, w)
+                break
+    return [word, *out]
+
+
 def parse_name(name: str | None, category: str | None, town: str) -> dict:
     """Parts of a business name: core words sorted, given name or initial, trade, and whether it is in Latin letters."""
     text = consistent(name or "")
@@ -184,21 +202,21 @@ def parse_name(name: str | None, category: str | None, town: str) -> dict:
     text = re.sub(r"(?<=\w)['’](?=\w)", "", text)
     words = re.findall(r"[^\W_]+", fold(text))
     place = re.findall(r"[^\W_]+", fold(town)) if town else []
+    if len(words) == 1 and len(words[0]) > 9:
+        words = _unglued(words[0], place)
     trades, core, given, initials = [], [], "", ""
-    for word in words:
-        if any(len(p) >= 4 and distance(word, p, 1) <= 1 for p in place):
-            continue
-        for w in _glued(word):
-            if (t := _trade_word(w)) and len(words) > 1:
-                trades.append(t)
-            elif len(w) == 1 and w.isalpha() and w not in "ns":
-                initials = initials or w
-            elif not given and len(words) > 2 and (g := _given(w)):
-                given = g
-            elif not _general(w):
-                core.append(w)
-            elif w in _SIDE_OF and len(_SIDE_OF[w]) == 1:
-                trades.append("?" + _SIDE_OF[w][0])
+    words = [w for word in words if not any(len(p) >= 4 and distance(word, p, 1) <= 1 for p in place) for w in _glued(word)]
+    for w in words:
+        if (t := _trade_word(w)) and len(words) > 1:
+            trades.append(t)
+        elif len(w) == 1 and w.isalpha() and w not in "ns":
+            initials = initials or w
+        elif not given and len(words) > 2 and (g := _given(w)):
+            given = g
+        elif not _general(w):
+            core.append(w)
+        elif w in _SIDE_OF and len(_SIDE_OF[w]) == 1:
+            trades.append("?" + _SIDE_OF[w][0])
     sure = [t for t in trades if t[0] != "?"]
     trade = trade_of_category(category) if category else ""
     trade = trade or (sure[0] if sure else trades[0][1:] if trades else "")
