@@ -5,10 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leadloom.operators import packed, spatial
-from leadloom.sources.tables import table, unique_records
+from leadloom.functions import geo, markup, reviews, text, web
+from leadloom.operators import filters, identity, packed, spatial
+from leadloom.plans import leads as plans
+from leadloom.sources.tables import present, table, unique_records
+from leadloom.streaming.dedup import windowed_counts
 
 NEAR_M = 50.0
+PACKED = ["emails", "tech_stack", "review_keywords"]
+#: Filters of the example queries.
+WANTED = {"include_all": ["rating >= 4"], "include_any": [{"field": "claimed_status", "op": "=", "value": "Claimed"}, {"field": "review_count", "op": ">=", "value": 50}], "exclude_any": [{"field": "business_status", "op": "contains", "value": "closed"}, {"field": "country", "op": "in", "value": ["GB"]}]}
+WANTED_LATE = {"include_any": [{"email_found": "yes"}, "rating >= 4.5"], "exclude_all": [{"field": "meta_pixel", "value": "no"}, {"field": "ga4", "value": "no"}]}
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,10 +26,224 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    fields = ["emails", "tech_stack", "review_keywords"]
-    leads = unique_records(table(spark, sf_dir, "leads"), *fields)
-    return packed.unpack(leads, "record_id", fields).withColumn("pos", F.col("pos").cast("int"))
+    leads = unique_records(table(spark, sf_dir, "leads"), *PACKED)
+    return packed.unpack(leads, "record_id", PACKED).withColumn("pos", F.col("pos").cast("int"))
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found}
-SQL: dict[str, str] = {}
+def coordinates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spatial.located(table(spark, sf_dir, "leads"), "record_id", "latitude", "longitude")
+
+
+def url_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = unique_records(table(spark, sf_dir, "leads"), "website")
+    return d.select("record_id", web.normalize_url(F.col("website")).alias("url"), web.host_of(F.col("website")).alias("host"), web.domain_of(F.col("website")).alias("domain"))
+
+
+def phones(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = unique_records(table(spark, sf_dir, "leads"), "phone")
+    return d.select("record_id", web.normalize_phone(F.col("phone"), F.lit("US")).alias("phone"))
+
+
+def emails_in_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = unique_records(table(spark, sf_dir, "leads"), "top_review")
+    return d.select("record_id", F.explode(web.emails_in(F.col("top_review"))).alias("email"))
+
+
+def email_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = unique_records(table(spark, sf_dir, "leads"), "emails", "website")
+    one = packed.unpack(d, "record_id", ["emails"]).join(d.select("record_id", "website"), "record_id")
+    return one.select("record_id", "pos", web.normalize_email(F.col("item")).alias("email"), F.coalesce(web.email_rejection(F.col("item"), F.col("website")), F.lit("kept")).alias("verdict"))
+
+
+def identity_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = unique_records(table(spark, sf_dir, "leads"), "place_id", "business_name", "website", "phone", "city")
+    i = identity.identity(["place_id", "business_name", "website", "phone", "city"])
+    return d.select("record_id", i.alias("i")).groupBy("i.key_type").agg(F.count("*").alias("records"), F.countDistinct("i.identity_key").alias("identities"))
+
+
+def first_by_place(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = unique_records(table(spark, sf_dir, "leads"), "place_id", "city").withColumn("place_id", present(F.col("place_id")))
+    return identity.first_wins(d, ["place_id"], ["record_id"]).select("record_id", "place_id")
+
+
+def _leads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return unique_records(table(spark, sf_dir, "leads"), "rating", "review_count", "claimed_status", "business_status", "country", "emails", "meta_pixel", "ga4")
+
+
+def filter_leads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filters.apply(_leads(spark, sf_dir), WANTED).select("record_id")
+
+
+def filter_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = _leads(spark, sf_dir)
+    return d.select(F.coalesce(filters.rejection(WANTED, d.columns), F.lit("kept")).alias("reason")).groupBy("reason").count().withColumnRenamed("count", "records")
+
+
+def filter_two_passes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    early, late = filters.split(WANTED_LATE)
+    return filters.apply(filters.apply(_leads(spark, sf_dir), early), late).select("record_id")
+
+
+def quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = unique_records(table(spark, sf_dir, "leads"), "business_name", "rating", "address")
+    return d.select("record_id", F.array_join(plans.quality_issues(d), ";").alias("issues"))
+
+
+def export_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "leads")
+    return plans.export_columns(unique_records(d, *[c for c in d.columns if c != "record_id"])).select("record_id", "business_name", "emails", "tech_stack", "review_keywords", "top_review")
+
+
+def ratings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "listings").select("query", "rating", "review_count")
+    r = F.coalesce(text.rating_of(F.col("rating")), present(F.col("rating")).try_cast("double"))
+    return d.select("query", r.alias("r")).groupBy("query").agg(F.count("*").alias("listings"), F.count("r").alias("rated"), F.round(F.avg("r"), 6).alias("mean_rating"))
+
+
+def review_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "listings").select("_reviews")
+    d = d.select(F.explode("_reviews").alias("review")).distinct()
+    return d.select("review", F.bround(reviews.review_sentiment(F.col("review")), 6).alias("sentiment"), F.size(text.tokens(F.col("review"))).alias("tokens"))
+
+
+def listing_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "listings").where(F.size("_reviews") > 0).select("_reviews").distinct()
+    s = reviews.sentiment(F.col("_reviews"))
+    return d.select(F.array_join("_reviews", "|").alias("reviews"), s.alias("sentiment"), reviews.top_review(F.col("_reviews")).alias("top_review"), F.array_join(reviews.top_keywords(F.col("_reviews")), ",").alias("keywords"))
+
+
+def first_claim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = unique_records(table(spark, sf_dir, "leads"), "facebook", "instagram", "website")
+    return identity.first_claims(d, "record_id", "record_id", ["facebook", "instagram", "website"])
+
+
+def first_of_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identity.limited(unique_records(table(spark, sf_dir, "leads"), "source_query"), "source_query", ["record_id"], 3).select("record_id", "source_query")
+
+
+def unseen_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identity.unseen(table(spark, sf_dir, "incoming").select("seq_no", "record_id", "identity_key"), table(spark, sf_dir, "records").where("stage = 'committed'"), ["identity_key"]).select("seq_no", "record_id")
+
+
+def stages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "records").groupBy("stage").agg(F.count("*").alias("records"), F.count("committed_row").alias("with_row"), F.countDistinct("source_query").alias("queries"))
+
+
+def query_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "queries").select("query", text.query_keyword(F.col("query")).alias("keyword"), text.query_location(F.col("query")).alias("location"))
+
+
+def document_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents").select("doc_id", text.tokens(F.col("text")).alias("t"))
+    return d.select("doc_id", F.size("t").alias("tokens"), F.size(F.array_distinct("t")).alias("distinct_tokens"))
+
+
+def keyword_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    low = F.lower(F.coalesce("text", F.lit("")))
+    flags = [text.yes_no(markup.keyword_signal(low, ks)).alias(n) for n, ks in markup.KEYWORD_SIGNALS.items()]
+    return table(spark, sf_dir, "documents").select("doc_id", *flags)
+
+
+def event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return windowed_counts(table(spark, sf_dir, "events"), "ts", "event_type", "1 hour", "10 minutes").withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd HH:mm:ss"))
+
+
+def grid_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cell = F.struct(F.floor((F.col("lat") + 90) / 0.05).cast("long").alias("row"), F.floor((F.col("lon") + 180) / 0.05).cast("long").alias("column"))
+    return coordinates(spark, sf_dir).groupBy(cell.alias("c")).agg(F.count("*").alias("points")).select("c.row", "c.column", "points")
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p2_found, coordinates, url_parts, phones, emails_in_reviews, email_verdicts, identity_types, first_by_place, filter_leads, filter_reasons, filter_two_passes, quality, export_rows, ratings, review_scores, listing_scores, first_claim, first_of_query, unseen_batches, stages, query_words, document_tokens, keyword_signals, event_windows, grid_cells)}
+
+# SQL ---------------------------------------------------------------------------------------------------------
+
+_MISSING = "('', 'n/a', 'na', 'none', 'null')"
+
+
+def _present(c: str) -> str:
+    return f"case when lower(trim({c})) not in {_MISSING} then {c} end"
+
+
+def _in(words) -> str:
+    return "(" + ", ".join("'" + w.replace("'", "''") + "'" for w in words) + ")"
+
+
+def _coordinate(c: str, minus: str, plus: str, most: int) -> str:
+    t = f"replace(replace(trim(regexp_replace({c}, '\\s+', ' ', 'g')), ',', '.'), '−', '-')"
+    pattern = r"^([NSEWnsew])?\s*([+-]?(?:\d+\.?\d*|\.\d+))\s*[°º]?\s*([NSEWnsew])?$"
+    n, letter = f"try_cast(regexp_extract({t}, '{pattern}', 2) as double)", f"upper(concat(regexp_extract({t}, '{pattern}', 1), regexp_extract({t}, '{pattern}', 3)))"
+    value = f"(case when {letter} in ('', '{plus}') then {n} when {letter} = '{minus}' then -abs({n}) end)"
+    return f"case when {value} between -{most} and {most} then {value} end"
+
+
+_POINTS = f"""points as (select * from (select distinct record_id as id, {_coordinate("latitude", "S", "N", 90)} as lat, {_coordinate("longitude", "W", "E", 180)} as lon from leads where record_id is not null)
+  where lat is not null and lon is not null and not (lat = 0 and lon = 0))"""
+_METRES = "2 * 6371000 * asin(least(1.0, sqrt(pow(sin(radians(b.lat - a.lat) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin(radians(b.lon - a.lon) / 2), 2))))"
+_BANDS = "bands as (select *, cast(floor(lat * 1000) as bigint) as band from points)"
+_TOKENS = lambda c: f"list_filter(string_split_regex(lower({c}), '[^a-z0-9]+'), lambda x: length(x) > 1)"
+_HITS = lambda c, ws: f"len(list_filter({_TOKENS(c)}, lambda w: w in {_in(ws)}))"
+_URL_HOST = "regexp_replace(lower(regexp_extract(w, '^https?://([^/?#]*)', 1)), '^www\\.', '')"
+_FIELD = lambda c: f"(case when lower(trim({c})) in ('yes', 'true', 'y', '1') then 1.0 when lower(trim({c})) in ('no', 'false', 'n', '0', '') then 0.0 when regexp_full_match(trim({c}), '[+-]?(\\d+\\.?\\d*|\\.\\d+)([eE][+-]?\\d+)?') then try_cast(trim({c}) as double) end)"
+_WANTED = f"""case when not coalesce({_FIELD("rating")} >= 4, false) then 'include_all'
+  when not (coalesce(trim(claimed_status) = 'Claimed', false) or coalesce({_FIELD("review_count")} >= 50, false)) then 'include_any'
+  when coalesce(contains(trim(business_status), 'closed'), false) or coalesce(trim(country) = 'GB', false) then 'exclude_any' end"""
+_FLAG = lambda c: f"(coalesce(lower(trim({c})), '') not in ('', 'n/a', 'no'))"
+_PIECES = r"\s*[,;|·•\r\n\t]\s*|\s+/\s+"
+
+
+def _unpacked(field: str) -> str:
+    more = r"|\s+" if field == "emails" else ""
+    cell = f"regexp_replace({field}, '^\\s+|\\s+$', '', 'g')"
+    cell = f"(case when {cell} like '[%]' then substr({cell}, 2, length({cell}) - 2) else {cell} end)"
+    marked = f"array_to_string(list_transform(string_split({cell}, '\"'), lambda x, i: case when i % 2 = 1 then regexp_replace(x, '{_PIECES}{more}', chr(31), 'g') else x end), '\"')"
+    bare = f"list_transform(string_split({marked}, chr(31)), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g'))"
+    items = f"list_filter(list_transform({bare}, lambda x: case when length(x) >= 2 and x like '\"%\"' then trim(replace(substr(x, 2, length(x) - 2), '\"\"', '\"')) else x end), lambda x: x <> '')"
+    return f"select record_id, '{field}' as field_name, unnest(generate_series(1, len(items))) as pos, unnest(items) as item from (select record_id, {items} as items from (select distinct record_id, {field} from leads where record_id is not null and lower(trim({field})) not in {_MISSING}))"
+
+
+SQL = {
+    "p1_found": f"""with {_POINTS}, {_BANDS},
+      edges as (select area_id, ring[i] as p, ring[case when i = len(ring) then 1 else i + 1 end] as q from (select area_id, ring, unnest(generate_series(1, len(ring))) as i from areas)),
+      crossings as (select id, area_id, count(*) as n from points join edges on (p.lat > lat) <> (q.lat > lat) and lon < (q.lon - p.lon) * (lat - p.lat) / (q.lat - p.lat) + p.lon group by all)
+      select 'near' as kind, a.id as id_a, b.id as id_b from bands a join (select id, lat, lon, band + unnest([-1, 0, 1]) as band from bands) b on a.band = b.band where a.id < b.id and {_METRES} <= 50
+      union all select 'zone', id, area_id from crossings where n % 2 = 1""",
+    "p2_found": " union all ".join(_unpacked(f) for f in PACKED).join(["select record_id, field_name, cast(pos as integer) as pos, item from (", ")"]),
+    "coordinates": f"with {_POINTS} select id, lat, lon from points",
+    "url_parts": f"""select record_id, case when w is not null then regexp_extract(w, '^(https?)://', 1) || '://' || {_URL_HOST} || regexp_replace(regexp_extract(w, '^https?://[^/?#]*([^?#]*)', 1), '/+$', '') || regexp_extract(w, '(\\?[^#]*)', 1) end as url,
+      case when w is not null then {_URL_HOST} end as host, case when w is not null then array_to_string(string_split({_URL_HOST}, '.')[-2:], '.') end as domain
+      from (select distinct record_id, {_present("website")} as w from leads where record_id is not null)""",
+    "phones": r"""with p as (select distinct record_id, regexp_replace(trim(case when lower(trim(phone)) not in ('', 'n/a', 'na', 'none', 'null') then phone end), '(?i)^(phone:tel:|tel:)', '') as t from leads where record_id is not null),
+      q as (select record_id, regexp_extract(t, '(?i)[\s,;]*(?:ext(?:ension)?\.?|x|#|poste|anexo)\s*[:.#\- ]*\s*(\d{1,6})\b.*$', 1) as ext, trim(regexp_extract(regexp_replace(t, '(?i)[\s,;]*(?:ext(?:ension)?\.?|x|#|poste|anexo)\s*[:.#\- ]*\s*(\d{1,6})\b.*$', ''), '^([+]?[\d\s().,\-]+)', 1)) as n from p),
+      r as (select *, regexp_replace(n, '\D', '', 'g') as d from q),
+      s as (select *, case when n like '+%' then d when n like '00%' then substr(d, 3) when length(d) = 10 then '1' || d when length(d) = 11 and d like '1%' then d end as w from r)
+      select record_id, case when length(w) between 7 and 15 and (w not like '1%' or length(w) = 11) then '+' || w || case when ext <> '' then ' x' || ext else '' end end as phone from s""",
+    "emails_in_reviews": rf"""with t as (select distinct record_id, regexp_replace(regexp_replace(top_review, '(?i)\s*[\[(]\s*at\s*[\])]\s*', '@', 'g'), '(?i)\s*[\[(]\s*dot\s*[\])]\s*', '.', 'g') as x from leads where record_id is not null)
+      select distinct record_id, email from (select record_id, regexp_replace(lower(unnest(regexp_extract_all(x, '{web.EMAIL_TOKEN.replace("'", "''")}'))), '^[\s."''<>]+|[\s."''<>]+$', '', 'g') as email from t) where email <> ''""",
+    "first_by_place": f"with d as (select distinct record_id, {_present('place_id')} as place_id from leads where record_id is not null) select min(record_id) as record_id, place_id from d where place_id is not null group by place_id union all select record_id, place_id from d where place_id is null",
+    "filter_leads": f"select distinct record_id from leads where record_id is not null and ({_WANTED}) is null",
+    "filter_reasons": f"select coalesce({_WANTED}, 'kept') as reason, count(*) as records from (select distinct record_id, rating, review_count, claimed_status, business_status, country from leads where record_id is not null) group by 1",
+    "filter_two_passes": f"select distinct record_id from leads where record_id is not null and coalesce({_FIELD('rating')} >= 4.5, false) and coalesce(lower(trim(emails)), '') not in ('', 'n/a') and not (not {_FLAG('meta_pixel')} and not {_FLAG('ga4')})",
+    "quality": f"""with d as (select distinct record_id, business_name, rating, address, {_present("rating")} as r from leads where record_id is not null)
+      select record_id, array_to_string(list_filter([case when {_present("business_name")} is null then 'missing_name' end, case when r is not null and try_cast(r as double) is null then 'rating_non_numeric' when not try_cast(r as double) between 0 and 5 then 'rating_out_of_range:' || r end,
+      {", ".join(f"case when regexp_matches({c}, '[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f]') then 'control_chars_in:{c}' end" for c in ("record_id", "business_name", "rating", "address"))}], lambda x: x is not null), ';') as issues from d""",
+    "export_rows": "select distinct record_id, " + ", ".join(f"coalesce({c}, 'N/A') as {c}" for c in ("business_name", "emails", "tech_stack", "review_keywords", "top_review")) + " from leads where record_id is not null",
+    "ratings": rf"""select query, count(*) as listings, count(r) as rated, round(avg(r), 6) as mean_rating from (select query, coalesce(try_cast(replace(nullif(regexp_extract(rating, '\b([1-5][.,]\d)\b', 1), ''), ',', '.') as double), try_cast({_present("rating")} as double)) as r from listings) group by query""",
+    "review_scores": f"select review, round_even(case when p + n > 0 then (p - n) / (p + n) end, 6) as sentiment, tokens from (select review, {_HITS('review', reviews.POSITIVE)} as p, {_HITS('review', reviews.NEGATIVE)} as n, len({_TOKENS('review')}) as tokens from (select distinct unnest(_reviews) as review from listings))",
+    "listing_scores": f"""with d as (select distinct _reviews as rs, array_to_string(_reviews, '|') as reviews from listings where len(_reviews) > 0),
+      e as (select reviews, generate_subscripts(rs, 1) as i, unnest(rs) as t from d),
+      k as (select *, {_HITS("t", reviews.POSITIVE)} as p, {_HITS("t", reviews.NEGATIVE)} as n from e), s as (select *, case when p + n > 0 then (p - n) / (p + n) end as score from k),
+      w as (select reviews, w, count(*) as c, min(at) as at from (select reviews, unnest({_TOKENS("t")}) as w, i * 100000 + generate_subscripts({_TOKENS("t")}, 1) as at from e) where w not in {_in(sorted({*text.STOPWORDS, *reviews.PANEL_WORDS, *reviews.NO_TOPICS, *reviews.POSITIVE, *reviews.NEGATIVE}))} group by 1, 2),
+      r as (select reviews, w, row_number() over (partition by reviews order by c desc, at) as n from w)
+      select reviews, coalesce(round_even(avg(score), 3), 0) as sentiment, arg_min(t, row(-coalesce(score, 0), -length(t), i)) as top_review, coalesce((select string_agg(w, ',' order by n) from r where r.reviews = s.reviews and n <= 5), '') as keywords from s group by reviews""",
+    "first_claim": f"""with d as (select distinct record_id, {", ".join(f"{_present(c)} as {c}" for c in ("facebook", "instagram", "website"))} from leads where record_id is not null),
+      x as (select record_id, unnest([facebook, instagram, website]) as v from d), o as (select v, min(record_id) as owner from x where v is not null group by v)
+      select record_id, {", ".join(f"(select {c} from o where o.v = d.{c} and o.owner = d.record_id) as {c}" for c in ("facebook", "instagram", "website"))} from d""",
+    "first_of_query": "select record_id, source_query from (select record_id, source_query, row_number() over (partition by source_query order by record_id) as n from (select distinct record_id, source_query from leads where record_id is not null)) where n <= 3",
+    "unseen_batches": "select seq_no, record_id from incoming i where not exists (select 1 from records r where r.stage = 'committed' and r.identity_key = i.identity_key)",
+    "stages": "select stage, count(*) as records, count(committed_row) as with_row, count(distinct source_query) as queries from records group by stage",
+    "query_words": r"select query, trim(regexp_replace(query, '(?i)\s+(?:in|near)\s+.*$', '')) as keyword, case when regexp_matches(query, '(?i)\s+(in|near)\s+') then trim(regexp_replace(query, '(?i)^.*?\s+(?:in|near)\s+', '')) else '' end as location from queries",
+    "document_tokens": f"select doc_id, len(t) as tokens, len(list_distinct(t)) as distinct_tokens from (select doc_id, {_TOKENS('coalesce(text, chr(32))')} as t from documents)",
+    "keyword_signals": "select doc_id, " + ", ".join("case when " + " or ".join(f"contains(lower(coalesce(text, '')), '{k}')" if " " in k else f"regexp_matches(' ' || lower(coalesce(text, '')) || ' ', '[^\\p{{L}}\\p{{N}}\\p{{M}}_]{k}[^\\p{{L}}\\p{{N}}\\p{{M}}_]')" for k in ks) + f" then 'YES' else 'NO' end as {n}" for n, ks in markup.KEYWORD_SIGNALS.items()) + " from documents",
+    "event_windows": "select strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') as window_start, event_type, count(*) as n from events group by 1, 2",
+    "grid_cells": f'with {_POINTS} select cast(floor((lat + 90) / 0.05) as bigint) as "row", cast(floor((lon + 180) / 0.05) as bigint) as "column", count(*) as points from points group by 1, 2',
+}
