@@ -50,7 +50,7 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p5_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     old, _ = _history_and_batches(spark, sf_dir)
-    return history.HistoryIndex.of(old.select("town", F.lit(0).alias("batch"), "id", "ord", "k")).recalls()
+    return history.HistoryIndex.of(old.select("town", F.lit(0).alias("shard"), F.lit(0).alias("batch"), "id", "ord", "k")).recalls()
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
