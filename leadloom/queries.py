@@ -232,8 +232,8 @@ SQL = {
     "listing_scores": f"""with d as (select distinct _reviews as rs, array_to_string(_reviews, '|') as reviews from listings where len(_reviews) > 0),
       e as (select reviews, generate_subscripts(rs, 1) as i, unnest(rs) as t from d),
       k as (select *, {_HITS("t", reviews.POSITIVE)} as p, {_HITS("t", reviews.NEGATIVE)} as n from e), s as (select *, case when p + n > 0 then (p - n) / (p + n) end as score from k),
-      w as (select reviews, w, count(*) as c, min(at) as at from (select reviews, unnest({_TOKENS("t")}) as w, i * 100000 + generate_subscripts({_TOKENS("t")}, 1) as at from e) where w not in {_in(sorted({*text.STOPWORDS, *reviews.PANEL_WORDS, *reviews.NO_TOPICS, *reviews.POSITIVE, *reviews.NEGATIVE}))} group by 1, 2),
-      r as (select reviews, w, row_number() over (partition by reviews order by c desc, at) as n from w)
+      w as (select reviews, w, count(*) as c, min(seen) as seen from (select reviews, unnest({_TOKENS("t")}) as w, i * 100000 + generate_subscripts({_TOKENS("t")}, 1) as seen from e) where w not in {_in(sorted({*text.STOPWORDS, *reviews.PANEL_WORDS, *reviews.NO_TOPICS, *reviews.POSITIVE, *reviews.NEGATIVE}))} group by 1, 2),
+      r as (select reviews, w, row_number() over (partition by reviews order by c desc, seen) as n from w)
       select reviews, coalesce(round_even(avg(score), 3), 0) as sentiment, arg_min(t, row(-coalesce(score, 0), -length(t), i)) as top_review, coalesce((select string_agg(w, ',' order by n) from r where r.reviews = s.reviews and n <= 5), '') as keywords from s group by reviews""",
     "first_claim": f"""with d as (select distinct record_id, {", ".join(f"{_present(c)} as {c}" for c in ("facebook", "instagram", "website"))} from leads where record_id is not null),
       x as (select record_id, unnest([facebook, instagram, website]) as v from d), o as (select v, min(record_id) as owner from x where v is not null group by v)
