@@ -42,7 +42,7 @@ def postal_key(postal: str | None) -> str:
     if not postal:
         return ""
     p = re.sub(r"^[a-z]{1,2}-", "", fold(postal).strip())
-    p = re.sub(r"(?<=\d{5})-\d{4}$", "", re.sub(r"\s", "", p)).translate(str.maketrans("oil", "011"))
+    p = re.sub(r"(?<=\d{5})-\d{4}$", "", re.sub(r"\s", "", p).translate(str.maketrans("oil", "011")))
     return re.sub(r"[^a-z0-9]", "", p)
 
 

@@ -26,6 +26,8 @@ LATIN_LOOKALIKES = {
 }
 #: Dots and marks that other characters imitate belong to ordinary punctuation and are left alone.
 _JOINERS = "͏ᅟᅠㅤ"
+#: Latin letters of other alphabets among them; no text is truly written in these.
+_PHONETIC = {c: x for c, x in LATIN_LOOKALIKES.items() if "ſ" >= c > "ÿ" or "ɏ" < c < "ʰ"}
 _SCRIPTS = {name: regex.compile(rf"\p{{Script={name}}}") for name in ("Latin", "Cyrillic", "Greek", "Armenian")}
 _WORD = regex.compile(r"[\p{L}\p{M}\p{Cf}]+")
 _CLUSTER = regex.compile(r"\X")
@@ -80,13 +82,15 @@ def _is_punctuation(c: str) -> bool:
     return unicodedata.category(c)[0] == "P"
 
 
+#: Code points that can have another form: all but ideographs, syllables, surrogates and private use.
+_RANGES = ((0x80, 0x3400), (0xA000, 0xAC00), (0xD7B0, 0xD800), (0xF900, 0x10000), (0x10780, 0x107C0), (0x11000, 0x12000), (0x1BC00, 0x1BD00), (0x1D000, 0x1D800), (0x1EE00, 0x1EF00), (0x1F100, 0x1F300), (0x1FBF0, 0x1FC00), (0x2F800, 0x2FA20), (0xE0000, 0xE0200))
+
+
 @cache
 def form_rules() -> dict[str, str]:
     """Rules for widths, compatibility forms, decomposed accents, spaces and invisible characters, from Unicode's own data."""
     rules: dict[str, str] = {}
-    for point in range(0x80, 0x110000):
-        if 0xD800 <= point <= 0xDFFF or 0xE000 <= point <= 0xF8FF or 0xAC00 <= point <= 0xD7A3 or point >= 0xF0000:
-            continue
+    for point in (p for a, b in _RANGES for p in range(a, b)):
         c = chr(point)
         kind = unicodedata.category(c)
         if kind == "Cn":
@@ -116,7 +120,7 @@ def form_rules() -> dict[str, str]:
         rules[c] = " "
     for key, value in list(rules.items()):  # results in the end form
         for _ in range(4):
-            changed = "".join(rules.get(x, x) for x in value)
+            changed = "".join(_PHONETIC.get(y, y) for x in value for y in rules.get(x, x))
             changed = unicodedata.normalize("NFC", changed)
             if changed == value:
                 break

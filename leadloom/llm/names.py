@@ -56,6 +56,8 @@ NICKNAMES = {
     "abby": "abigail", "al": "albert", "alex": "alexander", "sasha": "alexander", "sandy": "alexander", "andy": "andrew", "drew": "andrew", "tony": "anthony", "art": "arthur", "barb": "barbara", "ben": "benjamin", "beth": "elizabeth", "betty": "elizabeth", "liz": "elizabeth", "lizzie": "elizabeth", "eliza": "elizabeth", "becky": "rebecca", "becca": "rebecca", "bill": "william", "billy": "william", "will": "william", "liam": "william", "bob": "robert", "bobby": "robert", "rob": "robert", "bert": "robert", "charlie": "charles", "chuck": "charles", "chris": "christopher", "cathy": "katherine", "kate": "katherine", "kathy": "katherine", "katie": "katherine", "kit": "katherine", "dan": "daniel", "danny": "daniel", "dave": "david", "deb": "deborah", "debbie": "deborah", "dick": "richard", "rick": "richard", "rich": "richard", "ricky": "richard", "don": "donald", "ed": "edward", "eddie": "edward", "ned": "edward", "ted": "theodore", "teddy": "theodore", "theo": "theodore", "fred": "frederick", "freddy": "frederick", "greg": "gregory", "hank": "henry", "harry": "henry", "jack": "john", "jake": "jacob", "jim": "james", "jimmy": "james", "jen": "jennifer", "jenny": "jennifer", "jess": "jessica", "joe": "joseph", "josie": "josephine", "jo": "josephine", "jon": "jonathan", "ken": "kenneth", "larry": "lawrence", "maggie": "margaret", "meg": "margaret", "peggy": "margaret", "peg": "margaret", "greta": "margaret", "matt": "matthew", "mike": "michael", "mick": "michael", "mickey": "michael", "nick": "nicholas", "nicky": "nicholas", "pat": "patricia", "patty": "patricia", "trish": "patricia", "tricia": "patricia", "pete": "peter", "phil": "philip", "ray": "raymond", "ron": "ronald", "sam": "samuel", "steve": "steven", "sue": "susannah", "susie": "susannah", "suzy": "susannah", "susan": "susannah", "tim": "timothy", "tom": "thomas", "tommy": "thomas", "vicky": "victoria", "walt": "walter",
 }
 GIVEN = frozenset(NICKNAMES.values())
+#: First letters that a given name may be shortened to, its own and those of its short forms.
+INITIALS = {g: "".join(sorted({g[0], *(n[0] for n, x in NICKNAMES.items() if x == g)})) for g in GIVEN}
 #: Domains of web hosts whose customers are subdomains.
 HOSTING = frozenset(["sitebarn.example"])
 
@@ -87,6 +89,13 @@ def distance(a: str, b: str, most: int) -> int:
             j += 1
         x, y = a[i : len(a) - j], b[i : len(b) - j]
         return 1 if max(len(x), len(y)) <= 1 or (len(x) == len(y) == 2 and x == y[::-1]) else 2
+    i, n = 0, min(len(a), len(b))
+    while i < n and a[i] == b[i]:
+        i += 1
+    j = 0
+    while j < n - i and a[-1 - j] == b[-1 - j]:
+        j += 1
+    a, b = a[i : len(a) - j], b[i : len(b) - j]
     before, row = None, list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
         last, before, row = before, row, [i] + [0] * len(b)
@@ -190,27 +199,44 @@ def _unglued(word: str, place: list[str]) -> list[str]:
                 word, again = word[: -len(w)], True
                 out.insert(0, w)
                 break
+    for w in ("autorepair", *sorted(TRADES, key=len, reverse=True)):  # the trade, also a short one, is what is left at the end
+        if len(word) > len(w) + 3 and word.endswith(w):
+            return [word[: -len(w)], w, *out]
     return [word, *out]
 
 
+_LATIN, _LETTER = re.compile(r"[A-Za-zÀ-ɏ]"), re.compile(r"[^\W\d_]")
+_CAMEL, _DOTTED, _APOSTROPHE = re.compile(r"(?<=[a-zà-ÿ])(?=[A-ZÀ-Þ][a-zà-ÿ])"), re.compile(r"\b((?:[^\W\d_]\.){2,})"), re.compile(r"(?<=\w)['’](?=\w)")
+_WORDS = re.compile(r"[^\W_]+")
+_INITIAL = re.compile(r"(?<![^\W_])([^\W\d_])\.")
+
+
+@lru_cache(20_000)
+def _place_words(town: str) -> tuple[str, ...]:
+    return tuple(_WORDS.findall(fold(town))) if town else ()
+
+
+def _is_place(word: str, place: tuple[str, ...]) -> bool:
+    return any(len(p) >= 4 and abs(len(p) - len(word)) <= 1 and (p[0] == word[0] or p[-1] == word[-1]) and distance(word, p, 1) <= 1 for p in place)
+
+
 def parse_name(name: str | None, category: str | None, town: str) -> dict:
     """Parts of a business name: core words sorted, given name or initial, trade, and whether it is in Latin letters."""
     text = consistent(name or "")
-    latin = bool(re.search(r"[A-Za-zÀ-ɏ]", text)) or not re.search(r"[^\W\d_]", text)
-    text = re.sub(r"(?<=[a-zà-ÿ])(?=[A-ZÀ-Þ][a-zà-ÿ])", " ", text)
-    text = re.sub(r"\b((?:[^\W\d_]\.){2,})", lambda m: m.group().replace(".", "") + " ", text)
-    text = re.sub(r"(?<=\w)['’](?=\w)", "", text)
-    words = re.findall(r"[^\W_]+", fold(text))
-    place = re.findall(r"[^\W_]+", fold(town)) if town else []
-    if len(words) == 1 and len(words[0]) > 9:
-        words = _unglued(words[0], place)
-    trades, core, given, initials = [], [], "", ""
-    words = [w for word in words if not any(len(p) >= 4 and distance(word, p, 1) <= 1 for p in place) for w in _glued(word)]
+    latin = text.isascii() or bool(_LATIN.search(text)) or not _LETTER.search(text)
+    text = _APOSTROPHE.sub("", _DOTTED.sub(lambda m: m.group().replace(".", "") + " ", _CAMEL.sub(" ", text)))
+    marked = _INITIAL.search(text)
+    words = _WORDS.findall(fold(text))
+    place = _place_words(town)
+    if len(words) == 1 and len(words[0]) > 7:
+        words = _unglued(words[0], list(place))
+    trades, core, given, initials = [], [], "", fold(marked.group(1)) if marked else ""
+    words = [w for word in words if not (place and _is_place(word, place)) for w in _glued(word)]
     for w in words:
         if (t := _trade_word(w)) and len(words) > 1:
             trades.append(t)
-        elif len(w) == 1 and w.isalpha() and w not in "ns":
-            initials = initials or w
+        elif len(w) == 1 and w.isalpha():
+            initials = initials or (w if w not in "ns" else "")
         elif not given and len(words) > 2 and (g := _given(w)):
             given = g
         elif not _general(w):
@@ -225,6 +251,17 @@ def parse_name(name: str | None, category: str | None, town: str) -> dict:
     return {"core": sorted(core), "given": given or initials, "trade": trade, "latin": latin}
 
 
+_SCHEME, _PORT = re.compile(r"^(?:[a-z]+:/*)+"), re.compile(r":\d*$")
+_BY_LENGTH = sorted(TRADES, key=len, reverse=True)
+
+
+@lru_cache(50_000)
+def bare_host(url: str) -> str:
+    """A URL's or raw domain's host without scheme, www, port and dot, in lower case."""
+    host = _SCHEME.sub("", unicodedata.normalize("NFKC", url).strip().lower()).split("/")[0].split("?")[0].split("@")[-1]
+    return _PORT.sub("", host).strip(".").removeprefix("www.")
+
+
 def host_name(website: str | None, town: str) -> tuple[str, str]:
     """(name, trade) spelled by a site's own host, both "" where the host is shared by other businesses.
 
@@ -232,28 +269,26 @@ def host_name(website: str | None, town: str) -> tuple[str, str]:
     """
     if not website:
         return "", ""
-    host = re.sub(r"^(?:[a-z]+:/*)+", "", website.strip().lower()).split("/")[0].split("?")[0].split("@")[-1]
-    host = re.sub(r":\d*$", "", host).strip(".").removeprefix("www.")
-    labels = host.split(".")
+    labels = bare_host(website).split(".")
     if ".".join(labels[-2:]) in HOSTING:
         label = labels[-3] if len(labels) > 2 else ""
     else:
         label = labels[-2] if len(labels) > 1 else ""
     if not label or label.endswith("-group"):
         return "", ""
-    place = re.sub(r"[\W_]", "", fold(town))
+    place = "".join(_place_words(town))
     label = fold(label)
     head, dash, tail = label.rpartition("-")
     if dash and place and distance(tail, place, 1) <= 1:
         label = head
     elif place and label.endswith(place[:5]) and len(label) > 8:
         label = label[: -len(place[:5])]
-    label = re.sub(r"[\W_]", "", label)
-    for t in sorted(TRADES, key=len, reverse=True):
+    label = label.replace("-", "").replace("_", "")
+    if label.endswith("autorepair") and len(label) > 12:
+        return label[:-10], "auto"
+    for t in _BY_LENGTH:
         if label.endswith(t) and len(label) > len(t) + 2:
             return label[: -len(t)], t
-        if t == "auto" and label.endswith("autorepair"):
-            return label[: -len("autorepair")], t
     return label, ""
 
 
@@ -356,7 +391,9 @@ def linked_records(records: DataFrame) -> DataFrame:
     near = F.col("edits") <= F.when(shorter < 5, 0).when(shorter < 7, 1).when(shorter < 14, 2).otherwise(3)
     exact = F.col("edits") == 0
     g, h = F.col("l.given"), F.col("r.given")
-    given = (g == "") | (h == "") | F.when((F.length(g) == 1) | (F.length(h) == 1), F.substring(g, 1, 1) == F.substring(h, 1, 1)).otherwise(g == h)
+    letters = F.create_map(*[F.lit(x) for pair in sorted(INITIALS.items()) for x in pair])
+    initial = lambda x: F.coalesce(F.try_element_at(letters, x), F.substring(x, 1, 1))
+    given = (g == "") | (h == "") | F.when(F.length(g) == 1, initial(h).contains(g)).when(F.length(h) == 1, initial(g).contains(h)).otherwise(g == h)
     link = F.when(kinds == "FF", near & given & ~other_host).when(kinds == "XX", exact).when(kinds == "HH", exact).when(kinds == "PP", exact).when(kinds == "FH", near & ~other_host).when(kinds == "HT", (F.col("edits") <= 1) & ~other_host).otherwise(F.lit(False))
     edges = pairs.where(link & (F.col("l.node") != F.col("r.node"))).select(F.col("l.node").alias("a"), F.col("r.node").alias("b")).distinct()
     labels = component_labels(edges, "a", "b")

@@ -54,7 +54,7 @@ _EN_TYPES = "Street|Str|St|Avenue|Ave|Av|Road|Rd|Boulevard|Blvd|Boul|Lane|Ln|Dri
 _ADDRESS = regex.compile(
     r"(?<![\w#.\-/$])(?:(?:No\.?\s*)?\d{1,5}[A-Za-z]?,?\s+(?:(?:North|South|East|West|[NSEW]\.?|So\.?|No\.?)\s+)?(?:[\p{L}][\p{L}'’\-]*|\d{1,3}(?:st|nd|rd|th))(?:\s+[\p{Lu}][\p{L}'’\-]*){0,2}\s+(?:" + _EN_TYPES + r")\b"
     r"|[\p{Lu}][\p{L}\-]*[\s\-]?(?i:straße|strasse|str\.?|weg|gasse|allee|platz|ufer|ring|damm|chaussee|steig|pfad|markt)\s+\d{1,4}\s?[a-z]?\b"
-    r"|(?i:calle|avenida|avda\.?|av\.|c/|plaza|pza\.?|paseo|pº|camino|carretera|ronda|travesía)\s*(?:(?:de|del|la|las|los|el)\s+)*[\p{L}][\p{L}'’\-]*(?:\s+(?:(?:de|del|la|las|los|el)\s+)*[\p{Lu}][\p{L}'’\-]*)*,?\s+(?:n[º°.]*\s*)?\d{1,4}\s?[a-z]?\b"
+    r"|(?i:calle|avenida|avda\.?|av\.|c/|plaza|pza\.?|paseo|pº|camino|carretera|ronda|travesía)\s*(?:(?:de|del|la|las|los|el)\s+)*[\p{L}][\p{L}'’\-]*(?:\s+(?:(?:de|del|la|las|los|el)\s+)*[\p{Lu}][\p{L}'’\-]*)*,?\s+(?:n[º°.]*\s*)?\d{1,4}[a-z]?\b"
     r"|\d{1,4}(?:\s?(?:bis|ter|quater)|[a-c])?,?\s+(?i:rue|avenue|av\.?|boulevard|bd\.?|place|pl\.?|chemin|allée|impasse|quai|route|cours|square|passage|r\.)\s+(?:(?:de|du|des|la|le|les|l['’]|d['’])\s*)*[\p{L}][\p{L}'’\-]*"
     r")"
 )
