@@ -16,7 +16,7 @@ KINDS = ("EMAIL", "PHONE", "ID", "ADDRESS", "NAME")
 _EMAIL = regex.compile(
     r"(?<![\w.+@%-])[\w.+%'-]*[\w+%-]"
     r"(?:\s?[@＠]\s?|\s?[\[({]\s?(?:at|@|arroba)\s?[\])}]\s?|\s(?:at|AT)\s(?=\S+\s(?:dot|DOT)\s))"
-    r"[\w-]+(?:(?:\.|\s?[\[({]\s?(?:dot|punto|punkt|point|\.)\s?[\])}]\s?|\s(?:dot|DOT)\s)[\w-]+)*?"
+    r"[\w-]+(?:(?:\.|\s?[\[({]\s?(?:dot|punto|punkt|point|\.)\s?[\])}]\s?|\s(?:dot|DOT)\s)[\w-]+)*"
     r"(?:\.|\s?[\[({]\s?(?:dot|punto|punkt|point|\.)\s?[\])}]\s?|\s(?:dot|DOT)\s)[\p{L}][\p{L}-]*+",
     regex.I,
 )
@@ -58,27 +58,33 @@ _ADDRESS = regex.compile(
     r"|\d{1,4}(?:\s?(?:bis|ter|quater)|[a-c])?,?\s+(?i:rue|avenue|av\.?|boulevard|bd\.?|place|pl\.?|chemin|allée|impasse|quai|route|cours|square|passage|r\.)\s+(?:(?:de|du|des|la|le|les|l['’]|d['’])\s*)*[\p{L}][\p{L}'’\-]*"
     r")"
 )
-_TITLE = r"(?:(?:Dr|Mr|Mrs|Ms|Miss|Mme|Mlle|M|Herr|Herrn|Frau|Sra|Sr|Srta|Don|Doña|Prof|Dra|Madame|Monsieur|Señora?|Sir)\b\.?\s+)"
-#: A name: one to four parts, each a word of letters or an initial, possibly hyphenated.
-_PART = r"(?:[\p{L}][\p{L}'’]+(?:-[\p{L}][\p{L}'’]+)*|[\p{L}]\.)"
-_NAME = rf"(?P<v>{_PART}(?:\s+{_PART}){{0,3}}?)"
+_TITLE = r"(?:(?:Dr|Mr|Mrs|Ms|Miss|Mme|Mlle|Herr|Herrn|Frau|Sra|Sr|Srta|Don|Doña|Prof|Dra|Madame|Monsieur|Señora?|Sir)\b\.?\s+)"
+_TITLE_FR = r"(?:(?:M|Dr|Mme|Mlle|Madame|Monsieur|Prof)\b\.?\s+)"
+#: A name: one to three words of letters, possibly hyphenated, with initials before or between them.
+_WORD = r"[\p{L}][\p{L}'’]+(?:-[\p{L}][\p{L}'’]+)*"
+_NAME = rf"(?P<v>(?:[\p{{L}}]\.\s*){{0,2}}{_WORD}(?:\s+(?:[\p{{L}}]\.\s*)?{_WORD}){{0,2}}?)"
+_SHORT_NAME = rf"(?P<v>(?:[\p{{L}}]\.\s*){{0,2}}{_WORD}(?:\s+{_WORD})?)"
 _NAME_CUES = [
     regex.compile(p)
     for p in (
         rf"(?i:\b(?:owner|manager|boss|technician|assistant|receptionist|guy|lady|chef|doctor|dentist|stylist) (?:is called|is named|was called|named|called))\s+{_TITLE}?{_NAME}(?=[.,;!?\n]|$)",
         rf"(?i:\bour (?:technician|doctor|stylist|plumber|agent|waiter|waitress|dentist|mechanic)),\s+{_TITLE}?{_NAME}(?=,)",
         rf"(?i:\bI (?:spoke|talked|dealt) (?:with|to))\s+{_TITLE}?{_NAME}(?=\s+(?:twice|once|again|yesterday|today)\b|[.,;!?\n]|$)",
-        rf"(?:^|(?<=[.!?]\s)|(?<=\n)|(?<=\s\s)|(?<=[)>\]]\s)|(?<=\s)){_TITLE}?{_NAME}(?=\s+(?:at the counter was|and the crew saved|hat alles gut|a tout expliqué|explained it all|was lovely)\b)",
+        rf"(?:^|(?<=[.!?]\s)|(?<=\n)|(?<=\s\s)|(?<=[)>\]]\s)|(?<=\s)){_TITLE}?{_NAME}(?=\s+(?:at the counter was|and the crew saved|hat alles gut|explained it all|was lovely)\b)",
+        rf"(?:^|(?<=[.!?]\s)|(?<=\n)|(?<=\s\s)|(?<=[)>\]]\s)|(?<=\s)){_TITLE_FR}?{_NAME}(?=\s+(?:a tout expliqué|m[’']a|nous a)\b)",
         rf"(?i:\bask for)\s+{_TITLE}?{_NAME}(?=[,.;!?\n]|$)",
         rf"(?i:\bnever let)\s+{_TITLE}?{_NAME}(?=\s+(?:near|touch|into|in)\b)",
         rf"(?i:\b(?:big )?(?:thanks|thank you|kudos|shout-?out|props) to)\s+{_TITLE}?{_NAME}(?=\s+(?:for|and|at)\b|[.,;!?\n]|$)",
-        rf"(?i:\b(?:signed|regards|cheers|sincerely)),\s+{_TITLE}?{_NAME}(?=\s{{2}}|\s+(?=[\p{{Lu}}<(\d])|[.,;!?\n]|\s*$)",
-        rf"(?:^|(?<=[\s]))[-–—]\s+{_TITLE}?{_NAME}(?=\s{{2}}|\n|\s*$|[.;!?]|\s+(?=[\p{{Lu}}<(\d]))",
+        rf"(?i:\b(?:signed|regards|cheers|sincerely)),\s+{_TITLE}?{_NAME}(?=\s{{2}}|[,;!?\n]|\.(?:\s|$)|\s*$)",
+        rf"(?:^|(?<=[\s]))[-–—]\s+{_TITLE}?{_NAME}(?=\s{{2}}|[;!?\n]|\.(?:\s|$)|\s*$)",
+        # a signature that a new sentence follows: two words of it if a capital comes after them, else one
+        rf"(?i:\b(?:signed|regards|cheers|sincerely)),\s+{_TITLE}?{_SHORT_NAME}(?=\s+[\p{{Lu}}<(\d])",
+        rf"(?:^|(?<=[\s]))[-–—]\s+{_TITLE}?{_SHORT_NAME}(?=\s+[\p{{Lu}}<(\d])",
         rf"(?i:\bmy (?:husband|wife|son|daughter|sister|brother|mother|father|mom|dad|friend|neighbou?r|partner|boss|kid|cousin))\s+{_TITLE}?{_NAME}(?=\s+(?:agrees?|says?|said|thinks?|loved|likes?|was|is|and|also)\b|[.,;!?\n]|$)",
         rf"(?i:\bdanke an)\s+{_TITLE}?{_NAME}(?=\s+(?:für|und)\b|[.,;!?\n]|$)",
         rf"(?i:\bfragen sie nach)\s+{_TITLE}?{_NAME}(?=[,.;!?\n]|$)",
-        rf"(?i:\b(?:merci à|grâce à))\s+{_TITLE}?{_NAME}(?=\s+(?:pour|et)\b|[.,;!?\n]|$)",
-        rf"(?i:\bdemandez)\s+{_TITLE}?{_NAME}(?=\s+(?:à|au|chez)\b|[.,;!?\n]|$)",
+        rf"(?i:\b(?:merci à|grâce à))\s+{_TITLE_FR}?{_NAME}(?=\s+(?:pour|et)\b|[.,;!?\n]|$)",
+        rf"(?i:\bdemandez)\s+{_TITLE_FR}?{_NAME}(?=\s+(?:à|au|chez)\b|[.,;!?\n]|$)",
         rf"(?i:\b(?:nos atendió|me atendió|gracias a))\s+{_TITLE}?{_NAME}(?=\s+(?:muy|por|y|con)\b|[.,;!?\n]|$)",
         rf"(?i:\b(?:pregunten|pregunte|pregunta) por)\s+{_TITLE}?{_NAME}(?=[,.;!?\n]|$)",
         rf"\b(?:Dr|Mr|Mrs|Ms|Miss|Mme|Mlle|Herrn|Frau|Sra|Srta|Don|Doña|Prof)\b\.?\s+(?P<v>\p{{Lu}}[\p{{L}}'’]+(?:-\p{{Lu}}[\p{{L}}'’]+)*(?:\s+\p{{Lu}}[\p{{L}}'’]+(?:-\p{{Lu}}[\p{{L}}'’]+)*)?)(?!\w)",
