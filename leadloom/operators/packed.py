@@ -5,14 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from leadloom.plans.lineage import cut
 from leadloom.sources.tables import is_missing
 
 #: Candidate delimiters. Hard ones never stand within a word; soft ones may.
 HARD = {"comma": r"\s*,\s*", "semicolon": r"\s*;\s*", "pipe": r"\s*\|\s*", "dot": r"\s*[·•]\s*", "newline": r"\s*[\r\n]\s*", "tab": r"\s*\t\s*"}
 SOFT = {"spaced slash": r"\s+/\s+", "spaced hyphen": r"\s+[-–—]\s+", "slash": r"/", "space": r"\s+"}
 CANDIDATES = HARD | SOFT
-#: Score from which a candidate is taken: pieces known from cells without it weigh 0.7, cells of full pieces 0.3.
+#: Score from which a candidate is taken: pieces known from cells without it weigh 0.7, cells of several pieces 0.3.
+#: Soft ones need their pieces known; hard ones that mostly do split cells are taken also where all values are new.
 LEAST_SCORE = 0.6
+LEAST_HARD_SCORE = 0.25
 _MARK = "\u001f"
 
 
@@ -82,21 +85,26 @@ def delimiter_scores(cell_rows: DataFrame) -> DataFrame:
             holds = F.size(pieces) > 0
         used.append(F.when(holds, F.struct(F.lit(name).alias("candidate"), F.transform(pieces, _kind).alias("pieces"))))
     d = d.select("source", F.transform("raw", lambda x: _kind(_unwrap_piece(x))).alias("pieces"), F.array_compact(F.array(*used)).alias("used"))
-    d = d.withColumn("holds", F.transform("used", lambda x: x["candidate"]))
-    # known: pieces between hard delimiters, with the candidates that their cells hold, counted before they are held together
-    known = d.select("source", "holds", F.explode("pieces").alias("piece")).groupBy("source", "piece", "holds").count()
-    u = d.select("source", F.explode("used").alias("u")).select("source", "u.*")
-    consistent = u.groupBy("source", "candidate").agg(F.count("*").alias("cells"), F.avg((F.size("pieces") >= 2).cast("double")).alias("consistency"))
-    pieces = u.select("source", "candidate", F.explode("pieces").alias("piece")).groupBy("source", "candidate", "piece").agg(F.count("*").alias("n"))
-    lacking = known.select("source", "piece", F.explode(F.array_except(F.array(*[F.lit(n) for n in CANDIDATES]), F.col("holds"))).alias("candidate")).distinct()
-    seen = pieces.join(lacking.withColumn("known", F.lit(1)), ["source", "candidate", "piece"], "left").groupBy("source", "candidate").agg((F.sum(F.col("n") * F.coalesce("known", F.lit(0))) / F.sum("n")).alias("regularity"))
-    return consistent.join(seen, ["source", "candidate"], "left").select("source", "candidate", "cells", (0.7 * F.coalesce("regularity", F.lit(0.0)) + 0.3 * F.col("consistency")).alias("score"))
-
-
-def inferred_delimiters(cell_rows: DataFrame, least_score: float = LEAST_SCORE) -> dict[str, list[str]]:
+    # all that is counted comes from one pass: pieces between hard delimiters by what their cells lack, pieces of
+    # each candidate, and the candidate's cells; counts are small before anything is shuffled
+    lacks = F.array_except(F.array(*[F.lit(n) for n in CANDIDATES]), F.transform("used", lambda x: x["candidate"]))
+    one = lambda kind, candidate, piece: F.struct(F.lit(kind).alias("kind"), candidate.alias("candidate"), piece.alias("piece"))
+    known = F.flatten(F.transform("pieces", lambda p: F.transform(lacks, lambda c: one("known", c, p))))
+    split = F.flatten(F.transform("used", lambda u: F.transform(u["pieces"], lambda p: one("split", u["candidate"], p))))
+    each = F.transform("used", lambda u: one("cells", u["candidate"], F.when(F.size(u["pieces"]) >= 2, "several").otherwise("one")))
+    counts = cut(d.select("source", F.explode(F.concat(known, split, each)).alias("x")).select("source", "x.*").groupBy("source", "kind", "candidate", "piece").count())
+    cells_ = counts.where("kind = 'cells'").groupBy("source", "candidate").agg(F.sum("count").alias("cells"), (F.coalesce(F.sum(F.when(F.col("piece") == "several", F.col("count"))), F.lit(0)) / F.sum("count")).alias("consistency"))
+    pieces = counts.where("kind = 'split'").select("source", "candidate", "piece", F.col("count").alias("n"))
+    lacking = counts.where("kind = 'known'").select("source", "candidate", "piece", F.lit(1).alias("known"))
+    seen = pieces.join(lacking, ["source", "candidate", "piece"], "left").groupBy("source", "candidate").agg((F.sum(F.col("n") * F.coalesce("known", F.lit(0))) / F.sum("n")).alias("regularity"))
+    return cells_.join(seen, ["source", "candidate"], "left").select("source", "candidate", "cells", (0.7 * F.coalesce("regularity", F.lit(0.0)) + 0.3 * F.col("consistency")).alias("score"))
+
+
+def inferred_delimiters(cell_rows: DataFrame) -> dict[str, list[str]]:
     """The candidates taken for each source. Its rows to the driver are sources times candidates at most."""
     out: dict[str, list[str]] = {}
-    for r in delimiter_scores(cell_rows).where(F.col("score") >= least_score).collect():
+    least = F.when(F.col("candidate").isin(*HARD), LEAST_HARD_SCORE).otherwise(LEAST_SCORE)
+    for r in delimiter_scores(cell_rows).where(F.col("score") >= least).collect():
         out.setdefault(r["source"], []).append(r["candidate"])
     return {s: [n for n in CANDIDATES if n in names] for s, names in out.items()}
 
