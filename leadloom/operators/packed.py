@@ -87,12 +87,14 @@ def delimiter_scores(cell_rows: DataFrame) -> DataFrame:
     d = d.select("source", F.transform("raw", lambda x: _kind(_unwrap_piece(x))).alias("pieces"), F.array_compact(F.array(*used)).alias("used"))
     # all that is counted comes from one pass: pieces between hard delimiters by what their cells lack, pieces of
     # each candidate, and the candidate's cells; counts are small before anything is shuffled
-    lacks = F.array_except(F.array(*[F.lit(n) for n in CANDIDATES]), F.transform("used", lambda x: x["candidate"]))
-    one = lambda kind, candidate, piece: F.struct(F.lit(kind).alias("kind"), candidate.alias("candidate"), piece.alias("piece"))
-    known = F.flatten(F.transform("pieces", lambda p: F.transform(lacks, lambda c: one("known", c, p))))
-    split = F.flatten(F.transform("used", lambda u: F.transform(u["pieces"], lambda p: one("split", u["candidate"], p))))
-    each = F.transform("used", lambda u: one("cells", u["candidate"], F.when(F.size(u["pieces"]) >= 2, "several").otherwise("one")))
-    counts = cut(d.select("source", F.explode(F.concat(known, split, each)).alias("x")).select("source", "x.*").groupBy("source", "kind", "candidate", "piece").count())
+    d = d.withColumn("lacks", F.array_except(F.array(*[F.lit(n) for n in CANDIDATES]), F.transform("used", lambda x: x["candidate"])))
+    one = lambda kind, candidates, pieces: F.struct(F.lit(kind).alias("kind"), candidates.alias("candidates"), pieces.alias("pieces"))
+    known = F.array(one("known", F.col("lacks"), F.col("pieces")))
+    split = F.transform("used", lambda u: one("split", F.array(u["candidate"]), u["pieces"]))
+    each = F.transform("used", lambda u: one("cells", F.array(u["candidate"]), F.array(F.when(F.size(u["pieces"]) >= 2, "several").otherwise("one"))))
+    rows = d.select("source", F.explode(F.concat(known, split, each)).alias("x")).select("source", "x.kind", "x.candidates", F.explode("x.pieces").alias("piece"))
+    counts = cut(rows.groupBy("source", "kind", "candidates", "piece").count())
+    counts = counts.withColumn("candidate", F.explode("candidates")).groupBy("source", "kind", "candidate", "piece").agg(F.sum("count").alias("count"))
     cells_ = counts.where("kind = 'cells'").groupBy("source", "candidate").agg(F.sum("count").alias("cells"), (F.coalesce(F.sum(F.when(F.col("piece") == "several", F.col("count"))), F.lit(0)) / F.sum("count")).alias("consistency"))
     pieces = counts.where("kind = 'split'").select("source", "candidate", "piece", F.col("count").alias("n"))
     lacking = counts.where("kind = 'known'").select("source", "candidate", "piece", F.lit(1).alias("known"))
