@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from leadloom.functions import geo, markup, reviews, text, web
 from leadloom.operators import filters, identity, packed, spatial
+from leadloom.operators.firstwins import first_wins_by_rules
 from leadloom.plans import leads as plans
 from leadloom.sources.tables import present, table, unique_records
 from leadloom.streaming.dedup import windowed_counts
@@ -66,6 +67,14 @@ def first_by_place(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identity.first_wins(d, ["place_id"], ["record_id"]).select("record_id", "place_id")
 
 
+def first_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "listings").select("_position", "query", "kgmid", "place_id", "business_name", "website", "phone", "city", "country")
+    d = d.withColumn("seq", F.struct("query", "_position", *[F.coalesce(c, F.lit("")).alias(c) for c in ("place_id", "business_name", "phone", "website")])).dropDuplicates(["seq"])
+    i = d.select("seq", identity.identity(d.columns).alias("i")).select("seq", "i.*")
+    i = i.withColumn("strong", F.col("kgmid").isNotNull() | F.col("place_id").isNotNull())
+    return first_wins_by_rules(i).groupBy(F.coalesce("duplicate", F.lit("kept")).alias("outcome")).agg(F.count("*").alias("listings"))
+
+
 def _leads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return unique_records(table(spark, sf_dir, "leads"), "rating", "review_count", "claimed_status", "business_status", "country", "emails", "meta_pixel", "ga4")
 
@@ -153,7 +162,7 @@ def grid_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coordinates(spark, sf_dir).groupBy(cell.alias("c")).agg(F.count("*").alias("points")).select("c.row", "c.column", "points")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p2_found, coordinates, url_parts, phones, emails_in_reviews, email_verdicts, identity_types, first_by_place, filter_leads, filter_reasons, filter_two_passes, quality, export_rows, ratings, review_scores, listing_scores, first_claim, first_of_query, unseen_batches, stages, query_words, document_tokens, keyword_signals, event_windows, grid_cells)}
+QUERIES = {f.__name__: f for f in (p1_found, p2_found, coordinates, url_parts, phones, emails_in_reviews, email_verdicts, identity_types, first_by_place, first_wins, filter_leads, filter_reasons, filter_two_passes, quality, export_rows, ratings, review_scores, listing_scores, first_claim, first_of_query, unseen_batches, stages, query_words, document_tokens, keyword_signals, event_windows, grid_cells)}
 
 # SQL ---------------------------------------------------------------------------------------------------------
 
