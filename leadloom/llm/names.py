@@ -63,7 +63,8 @@ HOSTING = frozenset(["sitebarn.example"])
 
 _TRADE_OF = {w: t for t, words in TRADES.items() for w in words.split() if w not in _SIDE}
 _SIDE_OF = {w: [t for t, words in TRADES.items() if w in words.split()] for w in _SIDE}
-_LONG_TRADE_WORDS = sorted((w for w in _TRADE_OF if len(w) >= 6), key=len, reverse=True)
+_LONG_TRADE_WORDS = frozenset(w for w in _TRADE_OF if len(w) >= 6)
+_LONGEST = max(map(len, _LONG_TRADE_WORDS))
 
 
 def fold(text: str) -> str:
@@ -117,51 +118,54 @@ def _deletions(word: str, most: int) -> set[str]:
 
 
 class Lexicon:
-    """Words that are found again with a slip or two: two words a few edits apart share a form with letters left out."""
-
-    def __init__(self, words: dict[str, str], least: int, long: int = 10):
-        self.words, self.least, self.long = words, least, long
-        self.forms: dict[str, list[str]] = {}
-        for w in words:
-            if len(w) >= least:
-                for form in _deletions(w, 2 if len(w) >= long else 1):
-                    self.forms.setdefault(form, []).append(w)
-
-    def find(self, word: str) -> str:
-        """What the word itself means, or the nearest that begins alike; "" for none."""
-        if word in self.words:
-            return self.words[word]
-        if len(word) < self.least - 1:
-            return ""
-        best = (3, "", "")
-        for form in _deletions(word, 2 if len(word) >= self.long - 1 else 1):
-            for w in self.forms.get(form, ()):
-                most = 2 if len(w) >= self.long else 1
-                if w[0] in word[:2] and (d := distance(word, w, most)) <= most:
-                    best = min(best, (d, w, self.words[w]))
-        return best[2]
+    """Words of several kinds that are found again with a slip or two: words a few edits apart share a form with letters left out."""
+
+    def __init__(self, kinds: list[tuple[dict[str, str], int, int]]):
+        """`kinds`: what the words of a kind mean, the length from which slips are allowed, and from which two."""
+        self.kinds = kinds
+        self.forms: dict[str, list[tuple[int, str]]] = {}
+        for k, (words, least, long) in enumerate(kinds):
+            for w in words:
+                if len(w) >= least:
+                    for form in _deletions(w, 2 if len(w) >= long else 1):
+                        self.forms.setdefault(form, []).append((k, w))
+        self.shortest, self.two = min(k[1] for k in kinds) - 1, min(k[2] for k in kinds) - 1
+
+    def find(self, word: str) -> tuple[str, ...]:
+        """What the word means in each kind, itself or as the nearest word that begins alike; "" for nothing."""
+        best = [(0, word, words[word]) if word in words else (9, "", "") for words, _, _ in self.kinds]
+        if len(word) >= self.shortest:
+            for form in _deletions(word, 2 if len(word) >= self.two else 1):
+                for k, w in self.forms.get(form, ()):
+                    words, _, long = self.kinds[k]
+                    most = 2 if len(w) >= long else 1
+                    if best[k][0] and w[0] in word[:2] and (d := distance(word, w, most)) <= most:
+                        best[k] = min(best[k], (d, w, words[w]))
+        return tuple(b[2] for b in best)
 
 
 @cache
-def _lexicons() -> tuple[Lexicon, Lexicon, Lexicon]:
+def _lexicon() -> Lexicon:
     general = {w: w for w in GENERIC if len(w) > 1} | {w: w for w in _SIDE_OF}
-    return Lexicon(_TRADE_OF, 6), Lexicon(general, 7, 99), Lexicon(NICKNAMES | {g: g for g in GIVEN}, 6, 99)
+    return Lexicon([(_TRADE_OF, 6, 10), (general, 7, 99), (NICKNAMES | {g: g for g in GIVEN}, 6, 99)])
+
+
+@lru_cache(300_000)
+def _meaning(word: str) -> tuple[str, ...]:
+    """The trade, the general word and the given name that a word is, allowing for a slip in a long one."""
+    return _lexicon().find(word)
 
 
-@lru_cache(200_000)
 def _trade_word(word: str) -> str:
-    """The trade of a word, allowing for a slip in a long one; "" for others."""
-    return _lexicons()[0].find(word)
+    return _meaning(word)[0]
 
 
-@lru_cache(200_000)
 def _general(word: str) -> bool:
-    return word in GENERIC or bool(_lexicons()[1].find(word))
+    return word in GENERIC or bool(_meaning(word)[1])
 
 
-@lru_cache(100_000)
 def _given(word: str) -> str:
-    return _lexicons()[2].find(word)
+    return _meaning(word)[2]
 
 
 @lru_cache(50_000)
@@ -175,12 +179,11 @@ def _glued(word: str) -> tuple[str, ...]:
     """Parts of a word in which a trade is written on to a name."""
     if _trade_word(word) or _general(word):
         return (word,)
-    for w in _LONG_TRADE_WORDS:
-        if len(word) > len(w) + 3:
-            if word.endswith(w):
-                return (word[: -len(w)], w)
-            if word.startswith(w):
-                return (w, word[len(w) :])
+    for k in range(min(_LONGEST, len(word) - 4), 5, -1):
+        if word[-k:] in _LONG_TRADE_WORDS:
+            return (word[:-k], word[-k:])
+        if word[:k] in _LONG_TRADE_WORDS:
+            return (word[:k], word[k:])
     return (word,)
 
 
