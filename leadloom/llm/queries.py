@@ -130,4 +130,11 @@ QUERIES = {
     "p10_found": p10_found,
     "p10_statistics": p10_statistics,
 }
-SQL: dict[str, str] = {}
+_WORDS = r"list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{L}\p{M}\p{N}]+'), lambda w: w <> '')"
+
+SQL: dict[str, str] = {
+    "p10_found": f"""with d as (select doc_id, text, {_WORDS} as ws from documents),
+      c as (select lang, list(distinct lower(word)) as common from common_words where lang is not null and word is not null group by lang),
+      h as (select doc_id, max(len(list_filter(ws, lambda w: list_contains(common, w)))) as hits from d, c group by doc_id)
+      select doc_id from d join h using (doc_id) where length(coalesce(text, '')) > 0 and (len(ws) = 0 or hits / len(ws) < {quality.LEAST_COMMON_SHARE})""",
+}
