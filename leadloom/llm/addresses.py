@@ -215,7 +215,7 @@ def mine_rewrites(forms: DataFrame) -> DataFrame:
     edits = F.levenshtein("token", "by")
     length = F.least(F.length("token"), F.length("by"))
     swapped = F.sort_array(F.split("token", "")) == F.sort_array(F.split("by", ""))
-    misspelt = ((edits <= 1) & (length >= 4)) | ((edits == 2) & (swapped | (length >= 7))) | ((edits == 3) & (length >= 10))
+    misspelt = ((edits <= 1) & (length >= 3)) | ((edits == 2) & (swapped | (length >= 7))) | ((edits == 3) & (length >= 10))
     # an abbreviation begins alike and keeps the order of the letters
     a_short = F.when(F.length("token") <= F.length("by"), F.col("token")).otherwise(F.col("by"))
     a_long = F.when(F.length("token") <= F.length("by"), F.col("by")).otherwise(F.col("token"))

@@ -187,20 +187,22 @@ def _glued(word: str) -> tuple[str, ...]:
     return (word,)
 
 
+_GIVEN_BY_LENGTH = sorted((g for g in {*NICKNAMES, *GIVEN} if len(g) >= 5), key=len, reverse=True)
 _ENDINGS = sorted((w for w in GENERIC if len(w) >= 5), key=len, reverse=True)
 
 
 def _unglued(word: str, place: list[str]) -> list[str]:
     """Words of a name that is written as one, such as a name key: the, general endings and the town go off it."""
     word = word.removeprefix("the") if len(word) > 12 else word
-    out: list[str] = []
+    first = next((g for g in _GIVEN_BY_LENGTH if word.startswith(g) and len(word) > len(g) + 6), "")
+    word, out = word[len(first) :], [first] if first else []
     again = True
     while again:
         again = False
         for w in [*place, *_ENDINGS]:
             if len(word) > len(w) + 5 and word.endswith(w):
                 word, again = word[: -len(w)], True
-                out.insert(0, w)
+                out.append(w)
                 break
     for w in ("autorepair", *sorted(TRADES, key=len, reverse=True)):  # the trade, also a short one, is what is left at the end
         if len(word) > len(w) + 3 and word.endswith(w):
@@ -210,10 +212,17 @@ def _unglued(word: str, place: list[str]) -> list[str]:
 
 _LATIN, _LETTER = re.compile(r"[A-Za-zÀ-ɏ]"), re.compile(r"[^\W\d_]")
 _CAMEL, _DOTTED, _APOSTROPHE = re.compile(r"(?<=[a-zà-ÿ])(?=[A-ZÀ-Þ][a-zà-ÿ])"), re.compile(r"\b((?:[^\W\d_]\.){2,})"), re.compile(r"(?<=\w)['’](?=\w)")
+_POSSESSIVE = re.compile(r"(?<=\w)['’]s\b", re.I)
 _WORDS = re.compile(r"[^\W_]+")
 _INITIAL = re.compile(r"(?<![^\W_])([^\W\d_])\.")
 
 
+@lru_cache(200_000)
+def _of_trade(word: str, trade: str) -> bool:
+    """Whether a word is a slip of one of the words of a trade that is known already."""
+    return len(word) >= 4 and any(len(w) >= 4 and distance(word, w, 1) <= 1 for w in [*TRADES[trade].split(), *(["house"] if trade == "coffeehouse" else [])])
+
+
 @lru_cache(20_000)
 def _place_words(town: str) -> tuple[str, ...]:
     return tuple(_WORDS.findall(fold(town))) if town else ()
@@ -227,7 +236,7 @@ def parse_name(name: str | None, category: str | None, town: str) -> dict:
     """Parts of a business name: core words sorted, given name or initial, trade, and whether it is in Latin letters."""
     text = consistent(name or "")
     latin = text.isascii() or bool(_LATIN.search(text)) or not _LETTER.search(text)
-    text = _APOSTROPHE.sub("", _DOTTED.sub(lambda m: m.group().replace(".", "") + " ", _CAMEL.sub(" ", text)))
+    text = _APOSTROPHE.sub("", _POSSESSIVE.sub("", _DOTTED.sub(lambda m: m.group().replace(".", "") + " ", _CAMEL.sub(" ", text))))
     marked = _INITIAL.search(text)
     words = _WORDS.findall(fold(text))
     place = _place_words(town)
@@ -249,6 +258,8 @@ def parse_name(name: str | None, category: str | None, town: str) -> dict:
     sure = [t for t in trades if t[0] != "?"]
     trade = trade_of_category(category) if category else ""
     trade = trade or (sure[0] if sure else trades[0][1:] if trades else "")
+    if trade and len(core) > 1:
+        core = [w for w in core if not _of_trade(w, trade)] or core
     if not core and given:
         core, given = [given], ""
     return {"core": sorted(core), "given": given or initials, "trade": trade, "latin": latin}
@@ -369,11 +380,13 @@ def linked_records(records: DataFrame) -> DataFrame:
     keys = ["town", "core", "given", "trade", "latin", "host", "phone"]
     nodes = cut(d.groupBy(*keys).agg(F.min("record_id").alias("node")))
     words = F.split("core", " ")
+    unglued = F.regexp_replace("core", r"(?<=[a-z]{5})(?:and|und)(?= |$)", "")  # a conjunction written on to the name before it
     pts = F.array_compact(
         F.concat(
             F.array(
                 F.when((F.col("core") != "") & F.col("latin"), F.struct(F.lit("F").alias("kind"), F.array_join(words, "").alias("s"))),
                 F.when((F.col("core") != "") & ~F.col("latin"), F.struct(F.lit("X").alias("kind"), F.array_join(words, "").alias("s"))),
+                F.when((unglued != F.col("core")) & F.col("latin"), F.struct(F.lit("F").alias("kind"), F.replace(unglued, F.lit(" ")).alias("s"))),
                 F.when(F.col("host") != "", F.struct(F.lit("H").alias("kind"), F.col("host").alias("s"))),
                 F.when(F.col("phone") != "", F.struct(F.lit("P").alias("kind"), F.concat(F.lit("tel"), F.regexp_replace("phone", r"\D", "")).alias("s"))),
             ),
@@ -389,15 +402,15 @@ def linked_records(records: DataFrame) -> DataFrame:
     a, b = F.col("l.kind"), F.col("r.kind")
     kinds = F.concat(F.least(a, b), F.greatest(a, b))
     shorter = F.least(F.length("s_l"), F.length("s_r"))
-    same_host = (F.col("l.host") != "") & (F.col("l.host") == F.col("r.host"))
-    other_host = (F.col("l.host") != "") & (F.col("r.host") != "") & (F.levenshtein(F.col("l.host"), F.col("r.host")) > 2)
-    near = F.col("edits") <= F.when(shorter < 5, 0).when(shorter < 7, 1).when(shorter < 14, 2).otherwise(3)
+    other_host = (F.col("l.host") != "") & (F.col("r.host") != "") & (F.col("l.host") != F.col("r.host"))
+    swapped = F.sort_array(F.split("s_l", "")) == F.sort_array(F.split("s_r", ""))
+    near = (F.col("edits") <= F.when(shorter < 5, 0).when(shorter < 8, 1).when(shorter < 14, 2).otherwise(3)) | ((F.col("edits") == 2) & (shorter >= 5) & swapped)
     exact = F.col("edits") == 0
     g, h = F.col("l.given"), F.col("r.given")
     letters = F.create_map(*[F.lit(x) for pair in sorted(INITIALS.items()) for x in pair])
     initial = lambda x: F.coalesce(F.try_element_at(letters, x), F.substring(x, 1, 1))
     given = (g == "") | (h == "") | F.when(F.length(g) == 1, initial(h).contains(g)).when(F.length(h) == 1, initial(g).contains(h)).otherwise(g == h)
-    link = F.when(kinds == "FF", near & given & ~other_host).when(kinds == "XX", exact).when(kinds == "HH", exact).when(kinds == "PP", exact).when(kinds == "FH", near & ~other_host).when(kinds == "HT", (F.col("edits") <= 1) & ~other_host).otherwise(F.lit(False))
+    link = F.when(kinds == "FF", near & given & ~other_host).when(kinds == "XX", exact).when(kinds == "HH", exact).when(kinds == "PP", exact).when(kinds == "FH", near & ~other_host).when(kinds == "HT", exact & ~other_host).otherwise(F.lit(False))
     edges = pairs.where(link & (F.col("l.node") != F.col("r.node"))).select(F.col("l.node").alias("a"), F.col("r.node").alias("b")).distinct()
     labels = component_labels(edges, "a", "b")
     named = d.join(nodes, keys).select("record_id", "node")
