@@ -13,6 +13,8 @@ from leadloom.plans.lineage import cut
 
 #: Containers that a group of items fills, about. Half a container of each group stays empty on average.
 GROUP_CONTAINERS = 96
+#: Packs at most; the plan has a branch for each.
+MOST_PACKS = 1000
 
 
 def differencing(sizes: np.ndarray, k: int) -> np.ndarray:
@@ -94,7 +96,7 @@ def pack(sizes: DataFrame, packs: DataFrame, id_col: str = "doc_id", size_col: s
 
     An item longer than a container is cut: its full pieces are containers of their own, the rest is an item
     like others. Items of size NULL are left out, those of size 0 are placed. Packs without a positive
-    capacity give no rows. Items are spread at random over groups that fill about GROUP_CONTAINERS
+    capacity give no rows, and more than MOST_PACKS are refused. Items are spread at random over groups that fill about GROUP_CONTAINERS
     containers each, so that a group fits one task whatever the input; each group is packed by fill().
     """
     s = cut(sizes.where(F.col(size_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(size_col).cast("long").alias("n")))
@@ -102,7 +104,10 @@ def pack(sizes: DataFrame, packs: DataFrame, id_col: str = "doc_id", size_col: s
     p = packs.where("capacity_tokens > 0 and pack_name is not null").select("pack_name", F.col("capacity_tokens").cast("long").alias("capacity_tokens"))
     # every item goes into every row of the pack table, one at a time
     parts = []
-    for row in p.limit(1000).collect():
+    rows = p.limit(MOST_PACKS + 1).collect()
+    if len(rows) > MOST_PACKS:
+        raise ValueError(f"more than {MOST_PACKS} packs")
+    for row in rows:
         parts.append(s.withColumn("pack_name", F.lit(row["pack_name"])).withColumn("capacity_tokens", F.lit(row["capacity_tokens"])))
     if not parts:
         empty = s.withColumn("pack_name", F.lit("")).withColumn("capacity_tokens", F.lit(1).cast("long"))

@@ -44,7 +44,7 @@ def text_statistics(df: DataFrame, text_col: str, common: dict[str, list[str]])
 
     Words are runs of letters and digits. The share of common words is that of the language in which it is
     highest, so a missing or wrong language label doesn't matter. NULL texts count as empty; in an empty
-    text all counts and shares are 0.
+    text all counts and shares are 0. A column `stats` that is there already is replaced.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     d = df.withColumn("_words", F.filter(F.split(F.lower(text), r"[^\p{L}\p{M}\p{N}]+"), lambda w: w != ""))
@@ -53,9 +53,7 @@ def text_statistics(df: DataFrame, text_col: str, common: dict[str, list[str]])
     n, m = F.size(words), F.size(lines)
     visible = F.length(F.regexp_replace(text, r"\s", ""))
     symbols = F.length(F.regexp_replace(text, r"[\p{L}\p{M}\p{N}\s.,;:!?'’‘\"“”«»()\-–—¿¡]", ""))
-    hits = [_count(words, lambda w, ws=tuple(ws): w.isin(*ws)) for ws in []]
-    for ws in common.values():
-        hits.append(_common_hits(words, ws))
+    hits = [_common_hits(words, ws) for ws in common.values()]
     best = F.greatest(*hits) if len(hits) > 1 else hits[0] if hits else F.lit(0)
     stats = F.struct(
         F.length(text).alias("n_chars"),
