@@ -359,7 +359,9 @@ def metric_pairs(points: DataFrame, radius: int = RADIUS) -> DataFrame:
     # two points at home in one cell meet twice there, others once from either home
     once = F.when(F.col("home_l") == F.col("home_r"), F.col("l") < F.col("r")).otherwise(F.col("home_l") < F.col("home_r"))
     j = j.where(once & (F.abs(F.col("far_l") - F.col("far_r")) <= radius))
-    return j.withColumn("edits", F.levenshtein("s_l", "s_r", radius)).where("edits >= 0").select("block", "s_l", "s_r", "l", "r", "edits")
+    # generated, so that no filter above measures the pair again
+    edits = F.explode(F.array(F.levenshtein("s_l", "s_r", radius))).alias("edits")
+    return j.select("block", "s_l", "s_r", "l", "r", edits).where("edits >= 0")
 
 
 def linked_records(records: DataFrame) -> DataFrame:
@@ -411,7 +413,7 @@ def linked_records(records: DataFrame) -> DataFrame:
     initial = lambda x: F.coalesce(F.try_element_at(letters, x), F.substring(x, 1, 1))
     given = (g == "") | (h == "") | F.when(F.length(g) == 1, initial(h).contains(g)).when(F.length(h) == 1, initial(g).contains(h)).otherwise(g == h)
     link = F.when(kinds == "FF", near & given & ~other_host).when(kinds == "XX", exact).when(kinds == "HH", exact).when(kinds == "PP", exact).when(kinds == "FH", near & ~other_host).when(kinds == "HT", exact & ~other_host).otherwise(F.lit(False))
-    edges = pairs.where(link & (F.col("l.node") != F.col("r.node"))).select(F.col("l.node").alias("a"), F.col("r.node").alias("b")).distinct()
+    edges = pairs.where((F.col("edits") <= 2) | (shorter >= 14)).where(link & (F.col("l.node") != F.col("r.node"))).select(F.col("l.node").alias("a"), F.col("r.node").alias("b")).distinct()
     labels = component_labels(edges, "a", "b")
     named = d.join(nodes, keys).select("record_id", "node")
     return named.join(labels.withColumnRenamed("id", "node"), "node", "left").select("record_id", F.coalesce("label", "node").alias("entity"))
