@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import re
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leadloom.llm import addresses, history, lookalike, mixing, names, packing, pii, quality, tokens
@@ -16,6 +19,7 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     fields = ["address", "full_address", "city", "state", "postal_code", "source_location", "source_query"]
     d = unique_records(table(spark, sf_dir, "leads"), *fields)
     d = d.select("record_id", _town("city", "source_location", "source_query").alias("town"), *[present(F.col(c)).alias(c) for c in ("address", "full_address", "state", "postal_code")])
+    d = _with_town(d, "record_id", ["address", "full_address"])
     return addresses.same_place_pairs(addresses.address_parts(d, "address", "full_address", "town", "state", "postal_code"))
 
 
@@ -59,17 +63,66 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookalike.inconsistent_fields(leads, "record_id", fields).select("record_id", "field_name")
 
 
-def _town(city: str, *others: str):
-    """The town in one form: the city, else what stands before the comma of a source's location, else of a query."""
-    raw = F.coalesce(present(F.col(city)), *[present(F.regexp_replace(F.col(c), r"(?i)^.*\\s(?:in|near)\\s+|,.*$", "")) for c in others])
-    return F.coalesce(F.lower(F.trim(raw)), F.lit(""))
+def _town(city: str, location: str, query: str) -> Column:
+    """The town in one form: the city, else what stands before the comma of a source's location, else after `in` or `near` in a query; "" for none."""
+    place = lambda c: F.trim(F.regexp_replace(c, r"(?i)^.*\s(?:in|near)\s+|,.*$", ""))
+    queried = F.when(F.col(query).rlike(r"(?i)\s(?:in|near)\s+\S"), place(F.col(query)))
+    said = [F.when(~F.lower(c).isin("me", "near me", "nearby"), c) for c in (place(F.col(location)), queried)]
+    return F.coalesce(F.lower(F.trim(F.coalesce(present(F.col(city)), *[present(c) for c in said]))), F.lit(""))
+
+
+#: Words of a town at most, and letters from which a slip is allowed in its name.
+TOWN_WORDS, SLIP_LETTERS = 5, 6
+
+
+def _runs(text: str | None) -> list[tuple[str, str, bool, int]]:
+    """(form, spelled, whole, at) of what may be a town in a text: runs of its words, folded, each also with a letter left out; whole where no other word is in its part."""
+    found, at = {}, 0
+    for part in re.split(r"[,;\n]", text or ""):
+        runs: list[list[str]] = [[]]
+        for w in re.findall(r"[^\W_]+", names.fold(part)):
+            runs = [*runs, []] if re.search(r"\d", w) else [*runs[:-1], [*runs[-1], w]]
+        runs = [r for r in runs if r]
+        for r in runs:
+            for i in range(len(r)):
+                at += 1
+                for k in range(i + 1, min(len(r), i + TOWN_WORDS) + 1):
+                    name = " ".join(r[i:k])
+                    whole = len(runs) == 1 and k - i == len(r)
+                    found[name] = (whole or found.get(name, (False,))[0], at)
+    return [(form, name, whole, i) for name, (whole, i) in found.items() for form in (names._deletions(name, 1) if len(name) >= SLIP_LETTERS else [name])]
+
+
+def _spellings(text: Column) -> Column:
+    @F.pandas_udf("array<struct<form: string, spelled: string, whole: boolean, at: int>>")
+    def runs(texts: pd.Series) -> pd.Series:
+        return pd.Series([_runs(t) for t in texts], dtype=object)
+
+    return runs(text)
+
+
+def _with_town(d: DataFrame, key: str, addresses_in: list[str]) -> DataFrame:
+    """`d`, whose `town` is "" where it isn't known: there it becomes a known town of other rows that stands in an address of the row.
+
+    A town as spelled goes before one with a slip, then what is a whole part of the address, then the longest,
+    the last and the most frequent one.
+    """
+    text = F.concat_ws("\n", *[present(F.col(c)) for c in addresses_in])
+    lost = d.where("town = ''").select(key, F.explode(_spellings(text)).alias("x")).select(key, "x.*")
+    known = d.where("town <> ''").groupBy("town").agg(F.count("*").alias("n")).select("town", "n", F.explode(_spellings(F.col("town"))).alias("y")).where("y.whole").select("town", "n", "y.form", F.col("y.spelled").alias("known"))
+    edits = F.levenshtein("spelled", "known")
+    swapped = (edits == 2) & (F.sort_array(F.split("spelled", "")) == F.sort_array(F.split("known", "")))
+    met = lost.join(known, "form").where((edits <= 1) | swapped)
+    best = met.groupBy(key).agg(F.max(F.struct((edits == 0).alias("exact"), "whole", F.length("known").alias("long"), "at", "n", "town")).alias("b"))
+    return d.join(best.select(key, F.col("b.town").alias("_found")), key, "left").withColumn("town", F.coalesce(F.when(F.col("town") == "", F.col("_found")), "town")).drop("_found")
 
 
 def _parsed_leads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    leads = table(spark, sf_dir, "leads").select("record_id", "business_name", "category", "city", "source_location", "source_query", "website").where("record_id is not null")
+    leads = table(spark, sf_dir, "leads").select("record_id", "business_name", "category", "city", "source_location", "source_query", "address", "full_address", "website").where("record_id is not null")
     history = table(spark, sf_dir, "records").select("record_id", "name_key", "normalized_phone")
+    leads = _with_town(leads.withColumn("town", _town("city", "source_location", "source_query")), "record_id", ["address", "full_address"])
     d = leads.join(history, "record_id", "left")
-    d = d.select("record_id", F.coalesce(present(F.col("business_name")), "name_key").alias("name"), present(F.col("category")).alias("category"), _town("city", "source_location", "source_query").alias("town"), present(F.col("website")).alias("website"), F.col("normalized_phone").alias("phone"))
+    d = d.select("record_id", F.coalesce(present(F.col("business_name")), "name_key").alias("name"), present(F.col("category")).alias("category"), "town", present(F.col("website")).alias("website"), F.col("normalized_phone").alias("phone"))
     return names.parsed(d, "name", "category", "town", "website")
 
 

@@ -3,6 +3,7 @@ import random
 from pyspark.sql import functions as F
 
 from leadloom.llm import addresses, names
+from leadloom.llm import queries as llm_queries
 from leadloom.llm.components import component_labels
 
 
@@ -95,3 +96,21 @@ def test_same_place_by_mined_rewrites(spark):
 
 def test_no_addresses(spark):
     assert addresses.same_place_pairs(_places(spark, []).where("false")).collect() == []
+
+
+def test_town_from_query_and_address(spark):
+    rows = [
+        ("a", "Langanford", None, None, None, None),
+        ("b", None, "Saint Olm, FR", None, None, None),
+        ("c", None, None, "plumber in Kenergate, IL", None, None),
+        ("d", "N/A", "N/A", "home services near me", "885 Alder Street", "885 Alder Street\nLanganford, TX 10109"),
+        ("e", None, None, "home services near me", "N/A", "225 Magonlia Pky, Langanforrd, TX, USA"),
+        ("f", None, None, "home services near me", None, "12 pl. des Vignerons, 10 Saint-Olm France"),
+        ("g", None, None, "home services near me", None, "1 Nowhere Road"),
+        ("h", None, None, "home services near me", "3 Kenergate Rd, Langanford", None),
+        ("i", None, "near me", "plumber", None, None),
+    ]
+    d = spark.createDataFrame(rows, "id string, city string, loc string, query string, address string, full_address string")
+    d = llm_queries._with_town(d.withColumn("town", llm_queries._town("city", "loc", "query")), "id", ["address", "full_address"])
+    towns = {r["id"]: r["town"] for r in d.collect()}
+    assert towns == {"a": "langanford", "b": "saint olm", "c": "kenergate", "d": "langanford", "e": "langanford", "f": "saint olm", "g": "", "h": "langanford", "i": ""}
