@@ -310,6 +310,8 @@ def host_name(website: str | None, town: str) -> tuple[str, str]:
 
 #: Radius of the joins in the true metric, Levenshtein's.
 RADIUS = 3
+#: Letters of a point below which only equal strings are partners: within the radius any two of them would be.
+SHORTEST = 3
 #: Points of a cell, about; more make more pivots in a block, up to the most.
 CELL_POINTS, MOST_PIVOTS = 256, 512
 
@@ -364,6 +366,14 @@ def metric_pairs(points: DataFrame, radius: int = RADIUS) -> DataFrame:
     return j.select("block", "s_l", "s_r", "l", "r", edits).where("edits >= 0")
 
 
+def equal_pairs(points: DataFrame) -> DataFrame:
+    """Pairs like those of metric_pairs(), of points in one block with equal strings; of two words of names none, as no link comes of them."""
+    left = points.where(F.col("p.kind") != "T").select("block", "s", F.col("p").alias("l"), F.hash("p").alias("_by"))
+    j = salted_join(left, points.select("block", "s", F.col("p").alias("r")), ["block", "s"], "_by", 4_000)
+    once = (F.col("r.kind") == "T") | (F.col("l") < F.col("r"))
+    return j.where(once).select("block", F.col("s").alias("s_l"), F.col("s").alias("s_r"), "l", "r", F.lit(0).alias("edits"))
+
+
 def linked_records(records: DataFrame) -> DataFrame:
     """(record_id, entity) for records (record_id, town, parts, phone) with a name: records of one business share entity.
 
@@ -395,12 +405,13 @@ def linked_records(records: DataFrame) -> DataFrame:
             F.when(F.col("latin") & (F.size(words) > 1), F.transform(words, lambda w: F.struct(F.lit("T").alias("kind"), w.alias("s")))).otherwise(F.array().cast("array<struct<kind:string,s:string>>")),
         )
     )
-    points = nodes.select("town", "trade", "given", "node", "host", F.explode(pts).alias("x")).where(F.length("x.s") >= 3)
+    points = nodes.select("town", "trade", "given", "node", "host", F.explode(pts).alias("x")).where(F.length("x.s") > 0)
     known = points.select("town", "trade").where("trade <> ''").distinct()
     everywhere = points.where("trade = ''").drop("trade").join(known, "town")
     points = points.unionByName(everywhere)
     points = points.select(F.concat_ws("|", "town", "trade").alias("block"), F.col("x.s").alias("s"), F.struct("node", F.col("x.kind").alias("kind"), "given", "host").alias("p"))
-    pairs = metric_pairs(points)
+    short = F.length("s") < SHORTEST
+    pairs = metric_pairs(points.where(~short)).unionByName(equal_pairs(points.where(short)))
     a, b = F.col("l.kind"), F.col("r.kind")
     kinds = F.concat(F.least(a, b), F.greatest(a, b))
     shorter = F.least(F.length("s_l"), F.length("s_r"))

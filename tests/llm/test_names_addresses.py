@@ -114,3 +114,21 @@ def test_town_from_query_and_address(spark):
     d = llm_queries._with_town(d.withColumn("town", llm_queries._town("city", "loc", "query")), "id", ["address", "full_address"])
     towns = {r["id"]: r["town"] for r in d.collect()}
     assert towns == {"a": "langanford", "b": "saint olm", "c": "kenergate", "d": "langanford", "e": "langanford", "f": "saint olm", "g": "", "h": "langanford", "i": ""}
+
+
+def test_short_names_are_linked_when_equal(spark):
+    rows = [
+        ("a1", "AB Plumbing", "Plumber", "ash", None, "+15550001111"),
+        ("a2", "ab plbg", "Plumber", "ash", None, None),
+        ("a3", "AC Plumbing", "Plumber", "ash", None, None),
+        ("a4", "AB Plumbing", "Plumber", "oak", None, None),
+        ("a5", "Tom AB Plumbing", "Plumber", "ash", None, None),
+        ("c1", "王府", None, "elm", "wf.example", None),
+        ("c2", "王府", None, "elm", None, "+15550002222"),
+        ("u1", "Dormileaf", None, "fir", None, None),
+        ("u2", "Dormileaff", None, "fir", None, None),
+    ]
+    d = spark.createDataFrame(rows, "record_id string, name string, category string, town string, website string, phone string")
+    of = {r["record_id"]: r["entity"] for r in names.linked_records(names.parsed(d, "name", "category", "town", "website")).collect()}
+    assert of["a1"] == of["a2"] == of["a5"] and of["c1"] == of["c2"] and of["u1"] == of["u2"]
+    assert len({of["a1"], of["a3"], of["a4"]}) == 3
