@@ -168,7 +168,9 @@ def consistent(text: str) -> str:
     """The one form of a text: letters of its own script, standard widths, composed accents, plain spaces."""
     if text.isascii():  # no rule begins with an ASCII character alone
         return text
-    return _borrowed(form_transducer()(text))
+    # what the rules leave side by side is composed: jamo, and marks after a letter that has changed its width or script
+    mapped = unicodedata.normalize("NFC", form_transducer()(text))
+    return unicodedata.normalize("NFC", _borrowed(mapped))
 
 
 def consistent_form(c: Column) -> Column:

@@ -1,3 +1,5 @@
+import unicodedata
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -66,3 +68,11 @@ def test_inconsistent_fields(spark):
     got = {(r["record_id"], r["field_name"], r["form"]) for r in lookalike.inconsistent_fields(d, "record_id", ["name", "category"]).collect()}
     assert got == {("a", "name", "Plumber"), ("b", "category", "Gym")}
     assert lookalike.inconsistent_fields(d.where("false"), "record_id", ["name"]).collect() == []
+
+
+def test_decomposed_syllables_and_marks_after_wide_letters():
+    for text in ("한국 치과", "각", "café", "バカ", "Й"):
+        assert lookalike.consistent(unicodedata.normalize("NFD", text)) == text
+    assert lookalike.consistent("ﾊﾞｶ") == lookalike.consistent("ﾊ\u3099カ") == "バカ"
+    assert lookalike.consistent("ｅ\u0301") == "é" and lookalike.consistent("가\u11a8") == "각"
+    assert lookalike.consistent("P\u0430\u0301ris") == "Páris"
