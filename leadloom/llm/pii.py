@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 
 import pandas as pd
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from leadloom.llm.names import NICKNAMES
 from leadloom.plans.lineage import cut
 
 KINDS = ("EMAIL", "PHONE", "ID", "ADDRESS", "NAME")
@@ -152,6 +154,32 @@ def mentions(df: DataFrame, key: str, text_col: str) -> DataFrame:
 # Surrogates -----------------------------------------------------------------------------------------------
 
 _SYLLABLES = [a + b for a in ("b", "d", "f", "g", "k", "l", "m", "n", "p", "r", "s", "t", "v", "z", "br", "tr") for b in ("a", "e", "i", "o", "u", "ai", "ei", "ou")]
+#: Syllables of other scripts, and given names by gender with the endings of their stand-ins by script (fixed values).
+_SCRIPTS = {
+    "CYRILLIC": [a + b for a in "бвгдзклмнпрстфхш" for b in "аеиоуэыю"],
+    "GREEK": [a + b for a in "βγδζθκλμνπρστφχψ" for b in "αεηιουωυ"],
+    "ARABIC": [a + b for a in "بتجدرزسشطعفقكلمن" for b in "ابتدرسلم"],
+    "HEBREW": [a + b for a in "בגדזחטכלמנספקרשת" for b in "אבדהולמר"],
+    "HANGUL": [chr(0xAC00 + 84 * i) for i in range(128)],
+    "HIRAGANA": [chr(0x3042 + i % 60) for i in range(128)],
+    "KATAKANA": [chr(0x30A2 + i % 60) for i in range(128)],
+    "CJK": [chr(0x5B00 + 7 * i) for i in range(128)],
+}
+_WOMEN = frozenset(
+    "abigail anna anne alice barbara elizabeth rebecca katherine margaret maria marie mary susan sarah sophie emma julia laura linda lisa nina olivia patricia rose ruth helen jane jennifer jessica claire chloe camille odette leocadia "
+    "ursula ingrid petra heike sabine carmen lucia isabel pilar анна мария елена ольга наталья татьяна ирина екатерина μαρία ελένη άννα αικατερίνη فاطمة عائشة مريم زينب".split()
+)
+_MEN = frozenset(
+    "albert alexander andrew anthony arthur benjamin william robert charles christopher daniel david edward eric frank frederick george henry james john joseph kevin lawrence mark martin michael nicholas patrick paul peter philip richard samuel stephen thomas walter "
+    "hans jürgen klaus stefan pierre jean jacques luc carlos javier pablo diego иван александр сергей дмитрий николай владимир андрей γιώργος νίκος δημήτρης محمد أحمد علي حسن".split()
+)
+_ENDINGS = {"LATIN": ("ella", "bert"), "CYRILLIC": ("ина", "слав"), "GREEK": ("ίνα", "ίας"), "ARABIC": ("ة", "ين")}
+
+
+def _gender(name: str) -> int | None:
+    """0 for a woman's given name, 1 for a man's, None for others."""
+    name = NICKNAMES.get(name.lower(), name.lower())
+    return 0 if name in _WOMEN else 1 if name in _MEN else None
 
 
 def _digest(key: str, kind: Column, entity: Column, attempt: Column) -> Column:
@@ -174,6 +202,12 @@ def _surrogate(kind: str, entity: str, digest: str) -> str:
     if kind == "NAME":
         if len(entity.rstrip(".")) == 1:
             return chr(ord("A") + pick(26)) + "."
+        script = next((w for c in entity if (w := unicodedata.name(c, "").split(" ")[0]) in (*_SCRIPTS, "LATIN")), "LATIN")
+        if script != "LATIN" or _gender(entity) is not None:
+            ends, sex = _ENDINGS.get(script), _gender(entity)
+            few = script in ("HANGUL", "CJK")
+            word = "".join(_SCRIPTS.get(script, _SYLLABLES)[pick(128)] for _ in range(max(2, len(entity)) if few else 3))
+            return (word + (ends[sex] if ends and sex is not None else "")).capitalize()
         ending = {"a": "a", "e": "e", "o": "o"}.get(entity[-1:].lower(), "n")
         word = "".join(_SYLLABLES[pick(128)] for _ in range(3 if len(entity) > 5 else 2)) + "l" + ("" if ending == "n" else ending) + ("en" if ending == "n" else "")
         return word.capitalize()
@@ -194,9 +228,45 @@ def _surrogates(*columns: str) -> Column:
     return draw(*columns)
 
 
+_AT = r"\s*[\[({]\s*(?:at|@|arroba)\s*[\])}]\s*|\s*[@＠]\s*|\s+at\s+"
+_DOT = r"\s*[\[({]\s*(?:dot|punto|punkt|point|\.)\s*[\])}]\s*|\s+dot\s+"
+
+
 def _entity(kind: Column, mention: Column) -> Column:
-    """What two mentions of the same thing share: parts of a name each by itself, other kinds without case and spacing."""
-    return F.when(kind == "NAME", F.lower(mention)).when(kind == "EMAIL", F.regexp_replace(F.regexp_replace(F.lower(mention), r"\s*[\[({]\s*(?:at|@)\s*[\])}]\s*|\s*@\s*", "@"), r"\s*[\[({]\s*dot\s*[\])}]\s*", ".")).otherwise(F.regexp_replace(F.lower(mention), r"\s+", " "))
+    """What two mentions of the same thing share: parts of a name each by itself, e-mails however written, digits and letters of phones and IDs, addresses without case and spacing."""
+    low = F.lower(mention)
+    digits = F.regexp_replace(F.regexp_replace(low, r"[^0-9]", ""), "^00", "")
+    return (
+        F.when(kind == "NAME", low)
+        .when(kind == "EMAIL", F.regexp_replace(F.regexp_replace(low, _AT, "@"), _DOT, "."))
+        .when(kind == "PHONE", F.when(F.length(digits) == 10, F.concat(F.lit("1"), digits)).otherwise(digits))
+        .when(kind == "ID", F.upper(F.regexp_replace(low, r"[^\p{L}\p{N}]", "")))
+        .otherwise(F.regexp_replace(low, r"\s+", " "))
+    )
+
+
+def _in_form(kind: str, mention: str, surrogate: str) -> str:
+    """A surrogate written as the mention is: its signs for @ and dots, or its separators between digits and letters."""
+    if kind == "EMAIL":
+        at, dot = re.search(_AT, mention, re.I), re.search(_DOT, mention, re.I)
+        name, host = surrogate.split("@")
+        out = name + (at.group() if at else "@") + (host.replace(".", dot.group()) if dot else host)
+        return out.upper() if mention.isupper() else out
+    if kind in ("PHONE", "ID"):
+        rest, out = list(surrogate), []
+        for c in reversed(mention):  # from the end, as a country's number may be left out before
+            new = rest.pop() if re.match(r"[0-9A-Za-z]", c) and rest else c
+            out.append(new.lower() if c.islower() else new)
+        return "".join(reversed(out))
+    return surrogate
+
+
+def _written(*columns: str) -> Column:
+    @F.pandas_udf("string")
+    def write(kind: pd.Series, mention: pd.Series, surrogate: pd.Series) -> pd.Series:
+        return pd.Series([_in_form(k, m, x) for k, m, x in zip(kind, mention, surrogate)], dtype=object)
+
+    return write(*columns)
 
 
 def surrogate_table(found: DataFrame, key: str, rounds: int = 8) -> DataFrame:
@@ -208,12 +278,14 @@ def surrogate_table(found: DataFrame, key: str, rounds: int = 8) -> DataFrame:
     """
     parts = F.when(F.col("kind") == "NAME", F.split("mention", r"[\s-]+")).otherwise(F.array("mention"))
     e = found.select("kind", F.explode(parts).alias("part")).select("kind", _entity(F.col("kind"), F.col("part")).alias("entity"), "part")
-    todo = e.groupBy("kind", "entity").agg(F.min("part").alias("part"))
+    todo = e.groupBy("kind", "entity").agg(F.min(F.when(F.col("kind").isin("PHONE", "ID"), F.col("entity")).otherwise(F.col("part"))).alias("part"))
+    taken = cut(todo.where(F.length("entity") > 2).select("kind", F.col("entity").alias("_is")))  # a stand-in is nothing that was found
     done = None
     for attempt in range(rounds):
         drawn = todo.withColumn("digest", _digest(key, F.col("kind"), F.col("entity"), F.lit(attempt))).withColumn("surrogate", _surrogates("kind", "part", "digest"))
         drawn = cut(drawn)
         first = drawn.groupBy("kind", "surrogate").agg(F.min("entity").alias("entity"))
+        first = first.join(taken, (first["kind"] == taken["kind"]) & (_entity(first["kind"], first["surrogate"]) == taken["_is"]), "left_anti")
         if done is not None:
             first = first.join(done.select("kind", "surrogate"), ["kind", "surrogate"], "left_anti")
         good = drawn.join(first, ["kind", "surrogate", "entity"], "left_semi").select("kind", "entity", "part", "surrogate")
@@ -238,8 +310,11 @@ def with_surrogates(df: DataFrame, key_col: str, text_col: str, secret: str) ->
     table = surrogate_table(found, secret)
     parts = F.when(F.col("kind") == "NAME", F.split("mention", r"[\s-]+")).otherwise(F.array("mention"))
     e = found.select(key_col, "kind", "start_pos", "end_pos", "mention", F.posexplode(parts).alias("i", "part")).withColumn("entity", _entity(F.col("kind"), F.col("part")))
-    e = e.join(table, ["kind", "entity"]).withColumn("surrogate", F.when((F.col("kind") == "NAME") & (F.col("part") == F.upper("part")) & (F.length("part") > 2), F.upper("surrogate")).when((F.col("kind") == "NAME") & (F.col("part") == F.lower("part")), F.lower("surrogate")).otherwise(F.col("surrogate")))
-    each = e.groupBy(key_col, "start_pos", "end_pos").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "surrogate"))), lambda x: x["surrogate"]), " ").alias("by"))
+    e = e.join(table, ["kind", "entity"]).withColumn("surrogate", _written("kind", "part", "surrogate")).withColumn("surrogate", F.when((F.col("kind") == "NAME") & (F.col("part") == F.upper("part")) & (F.length("part") > 2), F.upper("surrogate")).when((F.col("kind") == "NAME") & (F.col("part") == F.lower("part")), F.lower("surrogate")).otherwise(F.col("surrogate")))
+    # names keep what stands between their parts
+    gap = F.when(F.col("kind") == "NAME", F.coalesce(F.get(F.regexp_extract_all("mention", F.lit(r"[\s-]+"), F.lit(0)), F.col("i")), F.lit(""))).otherwise("")
+    e = e.withColumn("gap", gap)
+    each = e.groupBy(key_col, "start_pos", "end_pos").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "surrogate", "gap"))), lambda x: F.concat(x["surrogate"], x["gap"])), "").alias("by"))
     per_text = each.groupBy(key_col).agg(F.array_sort(F.collect_list(F.struct("start_pos", "end_pos", "by")), lambda a, b: b["start_pos"] - a["start_pos"]).alias("all"))
     texts = found.select(key_col, "text").dropDuplicates([key_col])
     replaced = F.aggregate("all", F.col("text"), lambda t, m: F.concat(F.substring(t, F.lit(1), m["start_pos"] - 1), m["by"], F.substring(t, m["end_pos"] + 1, F.length(t))))

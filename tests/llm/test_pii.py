@@ -1,3 +1,5 @@
+import re
+
 import pytest
 
 from leadloom.llm import pii
@@ -63,3 +65,18 @@ def test_surrogates_are_distinct_consistent_and_keyed(spark):
 def test_placeholders(spark):
     d = spark.createDataFrame([("a", "Mail x@y.example or ring 426-7154."), ("b", "nothing")], "record_id string, top_review string")
     assert [tuple(r) for r in pii.with_placeholders(d, "record_id", "top_review").select("record_id", "replaced").collect()] == [("a", "Mail [EMAIL] or ring [PHONE].")]
+
+
+def test_surrogates_keep_script_gender_form_and_coreference(spark):
+    rows = [
+        ("a", "Ask for Anna-Marie Kelsan, total pro."), ("b", "Ask for Мария, total pro."), ("c", "Ask for Robert, total pro."),
+        ("d", "Contact: vz [at] quiet [dot] example"), ("e", "Contact: vz@quiet.example now"), ("f", "Ring (212) 555-1234 now"), ("g", "Ring 212-555-1234 now"),
+    ]
+    d = spark.createDataFrame(rows, "record_id string, top_review string")
+    got = {r["record_id"]: r["replaced"] for r in pii.with_surrogates(d, "record_id", "top_review", "k1").collect()}
+    assert re.fullmatch(r"Ask for \w+ella-\w+ella \w+, total pro\.", got["a"])
+    assert re.fullmatch(r"Ask for [\u0400-\u04ff]+ина, total pro\.", got["b"]) and re.fullmatch(r"Ask for \w+bert, total pro\.", got["c"])
+    name = re.fullmatch(r"Contact: (\w+) \[at\] mail \[dot\] example", got["d"]).group(1)
+    assert got["e"] == f"Contact: {name}@mail.example now"
+    a, b = (re.fullmatch(p, got[k]) for k, p in (("f", r"Ring \((\d{3})\) (\d{3})-(\d{4}) now"), ("g", r"Ring (\d{3})-(\d{3})-(\d{4}) now")))
+    assert a.groups() == b.groups() != ("212", "555", "1234")
