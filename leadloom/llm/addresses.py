@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from functools import cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -31,6 +32,7 @@ STATES = {
 }
 _STATE_NAMES = "|".join(sorted(STATES.values(), key=len, reverse=True))
 _POSTAL = re.compile(r"\b(?:[a-z]{1,2}\d[a-z\d]?\s?\d[a-z]{2}|[a-z]\d[a-z]\s?\d[a-z]\d|(?:d|f|e)-\d{5}|\d{5}-\d{4})\b|(?<![\w-])[\dol]{5}(?![\w-])")
+_GERMAN = frozenset("strasse str weg gasse allee platz ufer ring damm chaussee".split())
 _COMPOUND = re.compile(r"^(\w{3,}?)-?(strasse|str|weg|gasse|allee|platz|ufer|ring|damm|chaussee)$")
 #: Number words of numbered streets and their figures.
 ORDINALS = dict(zip("first second third fourth fifth sixth seventh eighth ninth tenth eleventh twelfth".split(), "1st 2nd 3rd 4th 5th 6th 7th 8th 9th 10th 11th 12th".split()))
@@ -85,6 +87,8 @@ def _street(raw: str, town: str, state: str | None, whole: bool) -> dict | None:
             elif not re.fullmatch(r"\s*\d{1,4}\s*", s):
                 s = left
         words = re.findall(r"\d{1,3}(?:st|nd|rd|th)\b|[^\W_]+", s.replace("'", " ").replace("’", " "))
+        if len(segments) > 2 and (" ".join(words) in STATES or " ".join(words) in STATES.values()):
+            continue  # a state in a part of its own
         if place and (whole or len(segments) > 1):
             words = _without_town(words, place)
         if state and words and len(words) > 2 and fold(state) in words and whole:
@@ -120,6 +124,12 @@ def _without_town(words: list[str], place: list[str]) -> list[str]:
     return words
 
 
+@cache
+def _slipped_article(word: str) -> bool:
+    """Whether a short word, which stands between a street's type and its name, is an article but for a slip."""
+    return len(word) <= 4 and any(len(a) > 1 and distance(word, a, 1) <= 1 for a in _ARTICLES)
+
+
 def _parts(words: list[str]) -> dict | None:
     numbers = [i for i, w in enumerate(words) if _NUMBER.match(w)]
     if not numbers:
@@ -140,12 +150,14 @@ def _parts(words: list[str]) -> dict | None:
             way = DIRECTIONS[w]
         elif w in STREET_TYPES and len(split) > 1:
             types.append(w)
-        elif w not in _ARTICLES:
+        elif w not in _ARTICLES and not (types and i + 1 < len(split) and _slipped_article(w)):
             core.append(w)
     if not core:  # a street called like a type
         core, types = types, []
     if not core:
         return None
+    if types and types[-1] in _GERMAN:  # ae, oe and ue are umlauts written out
+        core = [re.sub(r"(?<=[aou])e", "", w) if len(w) > 4 else w for w in core]
     return {"number": number, "core": sorted(core), "kind": types[-1] if types else "", "way": way}
 
 
@@ -165,13 +177,16 @@ def address_parts(df: DataFrame, address: str, full: str, town: str, state: str,
 
 # Mining ------------------------------------------------------------------------------------------------------
 
-#: Critical value of the likelihood ratio at 1 in 1000, and the least contexts and share for unlike words.
-SIGNIFICANT, LEAST_CONTEXTS, LEAST_SHARE = 10.83, 4, 0.5
-MOST_ROUNDS = 8
+#: Critical value of the likelihood ratio at 1 in 1000; the share of its contexts that a word shares with what it is rewritten to; the least contexts for unlike words.
+SIGNIFICANT, LEAST_SHARE, LEAST_CONTEXTS = 10.83, 0.5, 4
+#: Rounds after which mining that still finds rewrites is taken for an error: each one moves words to more frequent ones, so it ends.
+MOST_ROUNDS = 60
+#: Rewrites up to which their table, counted first, is sent to all tasks.
+SENT_REWRITES = 200_000
 
 
 def _leave_one_out(forms: DataFrame) -> DataFrame:
-    """(slot, context, token, n): the words of `forms` with all that they agree in elsewhere.
+    """(slot, context, token, n): the words of `forms` with all that they agree in elsewhere, n records.
 
     A core word's context is town and number with the other core words and the postal code, or the type where
     there is no postal code in one of the two; a type's is town, number, postal code and core.
@@ -193,28 +208,29 @@ def _log_term(k: Column, expected: Column) -> Column:
 def mine_rewrites(forms: DataFrame) -> DataFrame:
     """(slot, token, by): significant rewrites among `forms` (town, number, postal, core, kind, n).
 
-    In each context its most frequent word is the hub; every other word there makes a pair with it. A pair's
-    contexts are held against those of either word by the likelihood ratio of independence. Kept are pairs
-    that agree far more often than by chance and, where unlike in letters, in most contexts of the rarer word;
-    one is enough for a rare word that is an abbreviation or misspelling of a more frequent one, as agreeing
-    in town, number and postal code by chance with a word so alike is rarer still. The rarer word is rewritten.
+    Counted are contexts that two records or more attest. In each its most frequent word is the hub; every
+    other word there makes a pair with it. A pair's contexts are held against those of either word by the
+    likelihood ratio of independence, and against those of the rarer word, which is to be rewritten: the
+    name of another street is attested in many contexts without the hub, a misspelling or an abbreviation
+    in few, so a core word must share half of them. Words alike need no more; unlike ones need several
+    contexts and significance. Of types, abbreviations and slips are rewritten, others as unlike words.
     """
     slots = _leave_one_out(forms)
-    totals = slots.groupBy("slot", "token").agg(F.count("*").alias("in_contexts"), F.sum("n").alias("times"))
-    slots = slots.join(totals, ["slot", "token"])
-    hubs = slots.groupBy("slot", "context").agg(F.max(F.struct("times", "token")).alias("hub"), F.count("*").alias("words")).where("words > 1")
-    pairs = slots.join(hubs, ["slot", "context"]).where(F.col("token") != F.col("hub.token"))
-    pairs = pairs.groupBy("slot", "token", F.col("hub.token").alias("by")).agg(F.count("*").alias("both"), F.first("in_contexts").alias("n_a"), F.first("times").alias("times_a"), F.first("hub.times").alias("times_b"))
-    shared = pairs.groupBy("slot", "token").agg(F.sum("both").alias("shared_a"))
-    n_b = pairs.groupBy("slot", "by").agg(F.sum("both").alias("shared_b"))
-    total = pairs.groupBy("slot").agg(F.sum("both").alias("total"))
-    p = pairs.join(shared, ["slot", "token"]).join(n_b, ["slot", "by"]).join(total, "slot")
-    k11, a, b, n = (F.col(c).cast("double") for c in ("both", "shared_a", "shared_b", "total"))
-    k12, k21, k22 = a - k11, b - k11, n - a - b + k11
+    attested = slots.groupBy("slot", "context").agg(F.sum("n").alias("records"), F.collect_list(F.struct("token", "n")).alias("words")).where("records > 1").select("slot", "context", F.size("words").alias("many"), F.explode("words").alias("w"))
+    attested = cut(attested.select("slot", "context", "many", "w.token", "w.n"))
+    totals = attested.groupBy("slot", "token").agg(F.count("*").alias("contexts"), F.sum("n").alias("times"))
+    total = {r["slot"]: r["n"] for r in attested.groupBy("slot").agg(F.count_distinct("context").alias("n")).collect()}  # three slots
+    met = attested.where("many > 1").join(totals, ["slot", "token"])
+    groups = met.groupBy("slot", "context").agg(F.max(F.struct("times", "token", "contexts")).alias("hub"), F.collect_list(F.struct("token", "contexts", "times")).alias("words"))
+    pairs = groups.select("slot", "hub", F.explode("words").alias("w")).where(F.col("w.token") != F.col("hub.token"))
+    p = pairs.groupBy("slot", F.col("w.token").alias("token"), F.col("hub.token").alias("by")).agg(F.count("*").alias("both"), F.first("w.contexts").alias("n_a"), F.first("hub.contexts").alias("n_b"), F.first("hub.times").alias("times_b"))
+    n = F.coalesce(*[F.when(F.col("slot") == s, F.lit(float(k))) for s, k in sorted(total.items())], F.lit(1.0))
+    k11, a, b = (F.col(c).cast("double") for c in ("both", "n_a", "n_b"))
+    k12, k21, k22 = a - k11, b - k11, F.greatest(n - a - b + k11, F.lit(0.0))
     ratio = 2 * (_log_term(k11, a * b / n) + _log_term(k12, a * (n - b) / n) + _log_term(k21, (n - a) * b / n) + _log_term(k22, (n - a) * (n - b) / n))
     edits = F.levenshtein("token", "by")
     length = F.least(F.length("token"), F.length("by"))
-    swapped = F.sort_array(F.split("token", "")) == F.sort_array(F.split("by", ""))
+    swapped = (length >= 3) & (F.sort_array(F.split("token", "")) == F.sort_array(F.split("by", "")))
     misspelt = ((edits <= 1) & (length >= 3)) | ((edits == 2) & (swapped | (length >= 7))) | ((edits == 3) & (length >= 10))
     # an abbreviation begins alike and keeps the order of the letters
     a_short = F.when(F.length("token") <= F.length("by"), F.col("token")).otherwise(F.col("by"))
@@ -222,38 +238,45 @@ def mine_rewrites(forms: DataFrame) -> DataFrame:
     abbreviated = (F.substring(a_short, 1, 1) == F.substring(a_long, 1, 1)) & F.rlike(a_long, F.concat(F.lit("^"), F.array_join(F.transform(F.split(a_short, ""), lambda c: F.concat(F.lit(r"\Q"), c, F.lit(r"\E"))), ".*")))
     digits = F.col("token").rlike("[0-9]") | F.col("by").rlike("[0-9]")
     both_digits = F.col("token").rlike("[0-9]") & F.col("by").rlike("[0-9]")
-    share = k11 / F.col("n_a")
-    rare = F.col("times_a") * 5 <= F.col("times_b")
-    unlike = (k11 >= LEAST_CONTEXTS) & (k11 / a >= LEAST_SHARE) & (ratio > SIGNIFICANT)
-    core_ok = F.when(both_digits, F.lit(False)).when(digits, unlike).otherwise((misspelt & (rare | (k11 / a >= LEAST_SHARE))) | unlike)
+    mostly = k11 / a >= LEAST_SHARE
+    unlike = mostly & (k11 >= LEAST_CONTEXTS) & (ratio > SIGNIFICANT)
+    core_ok = F.when(both_digits, F.lit(False)).when(digits, unlike).otherwise((misspelt & mostly) | unlike)
     kind_ok = abbreviated | misspelt | unlike
-    typed_ok = misspelt & ~digits & (rare | (k11 / a >= LEAST_SHARE))  # without a postal code only words that are alike
+    typed_ok = misspelt & ~digits & mostly  # without a postal code only words that are alike
     kept = p.where(F.when(F.col("slot") == "kind", kind_ok).when(F.col("slot") == "typed", typed_ok).otherwise(core_ok))
     kept = kept.withColumn("slot", F.when(F.col("slot") == "typed", "core").otherwise(F.col("slot")))
-    best = kept.groupBy("slot", "token").agg(F.max_by("by", F.struct("both", "times_b", "by")).alias("by"))
-    return best
+    return kept.groupBy("slot", "token").agg(F.max_by("by", F.struct("both", "times_b", "by")).alias("by"))
+
 
+def _resolved(rewrites: DataFrame) -> DataFrame:
+    """`rewrites` with words that are rewritten themselves replaced by what they become, one step and then two."""
+    for _ in range(2):
+        further = rewrites.select("slot", F.col("token").alias("by"), F.col("by").alias("_by"))
+        rewrites = rewrites.join(further, ["slot", "by"], "left").select("slot", "token", F.coalesce("_by", "by").alias("by"))
+    return rewrites.where("token <> by")
 
-def _rewrite(forms: DataFrame, rewrites: DataFrame) -> DataFrame:
-    """`forms` (with id) with their words rewritten."""
+
+def _rewrite(forms: DataFrame, rewrites: DataFrame, few: bool) -> DataFrame:
+    """`forms` (with id) with their words rewritten; the table of rewrites is sent to all tasks where it is found to be short."""
+    sent = F.broadcast if few else (lambda t: t)
     r = rewrites.select("slot", "token", "by")
     kinds = r.where("slot = 'kind'").select(F.col("token").alias("kind"), F.col("by").alias("new_kind"))
     cores = r.where("slot = 'core'").select("token", "by")
-    words = forms.select("id", F.explode("core").alias("token")).join(cores, "token", "left").groupBy("id").agg(F.sort_array(F.collect_list(F.coalesce("by", "token"))).alias("new_core"))
-    d = forms.join(words, "id").join(kinds, "kind", "left")
+    words = forms.select("id", F.explode("core").alias("token")).join(sent(cores), "token", "left").groupBy("id").agg(F.sort_array(F.collect_list(F.coalesce("by", "token"))).alias("new_core"))
+    d = forms.join(words, "id").join(sent(kinds), "kind", "left")
     return d.select("id", "town", "number", "postal", F.col("new_core").alias("core"), F.coalesce("new_kind", "kind").alias("kind"), "way", "n")
 
 
 def normalised_forms(forms: DataFrame) -> DataFrame:
     """`forms` (id, town, number, postal, core, kind, way, n) rewritten until mining finds nothing new."""
-    d = cut(forms)
+    d = forms
     for _ in range(MOST_ROUNDS):
         found = cut(mine_rewrites(d))
-        # words that are themselves rewritten stand for their own rewrite in the next round
-        if found.isEmpty():
-            break
-        d = cut(_rewrite(d, found))
-    return d
+        many = found.count()
+        if not many:
+            return d
+        d = cut(_rewrite(d, _resolved(found), many <= SENT_REWRITES))
+    raise RuntimeError(f"rewrites not settled after {MOST_ROUNDS} rounds")
 
 
 def same_place_pairs(records: DataFrame) -> DataFrame:

@@ -18,8 +18,8 @@ SECRET = "test key"
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     fields = ["address", "full_address", "city", "state", "postal_code", "source_location", "source_query"]
     d = unique_records(table(spark, sf_dir, "leads"), *fields)
-    d = d.select("record_id", _town("city", "source_location", "source_query").alias("town"), *[present(F.col(c)).alias(c) for c in ("address", "full_address", "state", "postal_code")])
     d = _with_town(d, "record_id", ["address", "full_address"])
+    d = d.select("record_id", "town", *[present(F.col(c)).alias(c) for c in ("address", "full_address", "state", "postal_code")])
     return addresses.same_place_pairs(addresses.address_parts(d, "address", "full_address", "town", "state", "postal_code"))
 
 
@@ -63,12 +63,12 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookalike.inconsistent_fields(leads, "record_id", fields).select("record_id", "field_name")
 
 
-def _town(city: str, location: str, query: str) -> Column:
-    """The town in one form: the city, else what stands before the comma of a source's location, else after `in` or `near` in a query; "" for none."""
+def _searched_town(location: str, query: str) -> Column:
+    """The town of a search: what stands before the comma of a source's location, else after `in` or `near` in a query; "" for none."""
     place = lambda c: F.trim(F.regexp_replace(c, r"(?i)^.*\s(?:in|near)\s+|,.*$", ""))
     queried = F.when(F.col(query).rlike(r"(?i)\s(?:in|near)\s+\S"), place(F.col(query)))
     said = [F.when(~F.lower(c).isin("me", "near me", "nearby"), c) for c in (place(F.col(location)), queried)]
-    return F.coalesce(F.lower(F.trim(F.coalesce(present(F.col(city)), *[present(c) for c in said]))), F.lit(""))
+    return F.coalesce(F.lower(F.trim(F.coalesce(*[present(c) for c in said]))), F.lit(""))
 
 
 #: Words of a town at most, and letters from which a slip is allowed in its name.
@@ -102,25 +102,27 @@ def _spellings(text: Column) -> Column:
 
 
 def _with_town(d: DataFrame, key: str, addresses_in: list[str]) -> DataFrame:
-    """`d`, whose `town` is "" where it isn't known: there it becomes a known town of other rows that stands in an address of the row.
+    """`d` (city, source_location, source_query) with `town`: the city, else a town of any row that stands in an address of the row, else that of the search, else "".
 
-    A town as spelled goes before one with a slip, then what is a whole part of the address, then the longest,
+    The search is last, as it also finds places in the next town. A town as spelled goes before one with a slip, then what is a whole part of the address, then the longest,
     the last and the most frequent one.
     """
+    d = d.withColumn("town", F.coalesce(F.lower(F.trim(present(F.col("city")))), F.lit("")))
     text = F.concat_ws("\n", *[present(F.col(c)) for c in addresses_in])
     lost = d.where("town = ''").select(key, F.explode(_spellings(text)).alias("x")).select(key, "x.*")
-    known = d.where("town <> ''").groupBy("town").agg(F.count("*").alias("n")).select("town", "n", F.explode(_spellings(F.col("town"))).alias("y")).where("y.whole").select("town", "n", "y.form", F.col("y.spelled").alias("known"))
+    named = F.when(F.col("town") != "", F.col("town")).otherwise(_searched_town("source_location", "source_query"))
+    known = d.select(named.alias("town")).where("town <> ''").groupBy("town").agg(F.count("*").alias("n")).select("town", "n", F.explode(_spellings(F.col("town"))).alias("y")).where("y.whole").select("town", "n", "y.form", F.col("y.spelled").alias("known"))
     edits = F.levenshtein("spelled", "known")
     swapped = (edits == 2) & (F.sort_array(F.split("spelled", "")) == F.sort_array(F.split("known", "")))
     met = lost.join(known, "form").where((edits <= 1) | swapped)
     best = met.groupBy(key).agg(F.max(F.struct((edits == 0).alias("exact"), "whole", F.length("known").alias("long"), "at", "n", "town")).alias("b"))
-    return d.join(best.select(key, F.col("b.town").alias("_found")), key, "left").withColumn("town", F.coalesce(F.when(F.col("town") == "", F.col("_found")), "town")).drop("_found")
+    return d.join(best.select(key, F.col("b.town").alias("_found")), key, "left").withColumn("town", F.when(F.col("town") != "", F.col("town")).otherwise(F.coalesce("_found", _searched_town("source_location", "source_query")))).drop("_found")
 
 
 def _parsed_leads(spark: SparkSession, sf_dir: str) -> DataFrame:
     leads = table(spark, sf_dir, "leads").select("record_id", "business_name", "category", "city", "source_location", "source_query", "address", "full_address", "website").where("record_id is not null")
     history = table(spark, sf_dir, "records").select("record_id", "name_key", "normalized_phone")
-    leads = _with_town(leads.withColumn("town", _town("city", "source_location", "source_query")), "record_id", ["address", "full_address"])
+    leads = _with_town(leads, "record_id", ["address", "full_address"])
     d = leads.join(history, "record_id", "left")
     d = d.select("record_id", F.coalesce(present(F.col("business_name")), "name_key").alias("name"), present(F.col("category")).alias("category"), "town", present(F.col("website")).alias("website"), F.col("normalized_phone").alias("phone"))
     return names.parsed(d, "name", "category", "town", "website")
