@@ -185,11 +185,24 @@ QUERIES = {
     "p10_found": p10_found,
     "p10_statistics": p10_statistics,
 }
-_WORDS = r"list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{L}\p{M}\p{N}]+'), lambda w: w <> '')"
+
+# SQL of p10, written from the definitions of the statistics and the published thresholds, not from the operator's.
+_TEXTS = r"""t as (select doc_id, coalesce(text, '') as t from documents),
+  w as (select doc_id, t, list_filter(string_split_regex(lower(t), '[^\p{L}\p{M}\p{N}]+'), lambda w: w <> '') as ws, list_filter(string_split_regex(t, '[\r\n\x{2028}\x{2029}]+'), lambda x: not regexp_full_match(x, '\s*')) as ls from t),
+  c as (select lang, list(distinct lower(word)) as common from common_words where lang is not null and word is not null group by lang),
+  h as (select doc_id, max(len(list_filter(ws, lambda w: list_contains(common, w)))) as hits from w, c group by doc_id),
+  s as (select doc_id, length(t) as n_chars, len(ws) as n_words, case when len(ws) > 0 then list_sum(list_transform(ws, lambda w: length(w))) / len(ws) else 0.0 end as mean_word_length,
+    case when length(regexp_replace(t, '\s', '', 'g')) > 0 then length(regexp_replace(t, '[\p{L}\p{M}\p{N}\s.,;:!?''’‘"“”«»()\-–—¿¡]', '', 'g')) / length(regexp_replace(t, '\s', '', 'g')) else 0.0 end as symbol_ratio,
+    len(ls) as n_lines, len(list_filter(ls, lambda x: regexp_matches(x, '[.!?…]["”’»)\]]*\s*$'))) / greatest(len(ls), 1) as punctuated_lines,
+    len(list_filter(ls, lambda x: regexp_matches(x, '^\s*([-*•·‣◦▪]|\d{1,3}[.)])\s'))) / greatest(len(ls), 1) as bullet_lines,
+    len(list_filter(ls, lambda x: regexp_matches(x, '(…|\.\.\.)\s*$'))) / greatest(len(ls), 1) as ellipsis_lines,
+    len(list_filter(ls, lambda x: length(x) <= 30)) / greatest(len(ls), 1) as short_lines,
+    len(list_filter(ws, lambda w: regexp_matches(w, '\p{L}'))) / greatest(len(ws), 1) as alphabetic_words, hits / greatest(len(ws), 1) as common_words from w join h using (doc_id)),
+  r as (select *, case when n_chars = 0 then ['empty'] when n_words = 0 then ['few common words'] else list_filter([case when common_words < 0.18 then 'few common words' end, case when mean_word_length < 3 or mean_word_length > 10 then 'word length' end,
+    case when symbol_ratio > 0.1 then 'symbols' end, case when bullet_lines > 0.9 then 'bullets' end, case when ellipsis_lines > 0.3 then 'ellipses' end, case when alphabetic_words < 0.8 then 'few alphabetic words' end,
+    case when punctuated_lines <= 0.12 then 'unpunctuated lines' end, case when short_lines >= 0.67 then 'short lines' end], lambda x: x is not null) end as reasons from s)"""
 
 SQL: dict[str, str] = {
-    "p10_found": f"""with d as (select doc_id, text, {_WORDS} as ws from documents),
-      c as (select lang, list(distinct lower(word)) as common from common_words where lang is not null and word is not null group by lang),
-      h as (select doc_id, max(len(list_filter(ws, lambda w: list_contains(common, w)))) as hits from d, c group by doc_id)
-      select doc_id from d join h using (doc_id) where length(coalesce(text, '')) > 0 and (len(ws) = 0 or hits / len(ws) < {quality.LEAST_COMMON_SHARE})""",
+    "p10_found": f"with {_TEXTS} select doc_id from r where list_has_all(reasons, ['unpunctuated lines', 'short lines']) or list_has_any(reasons, ['few common words', 'word length', 'symbols', 'bullets', 'ellipses', 'few alphabetic words'])",
+    "p10_statistics": f"with {_TEXTS} select * replace (array_to_string(reasons, '; ') as reasons, cast(n_chars as integer) as n_chars, cast(n_words as integer) as n_words, cast(n_lines as integer) as n_lines) from r",
 }

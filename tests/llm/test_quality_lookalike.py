@@ -25,6 +25,17 @@ def test_statistics_and_rules(spark):
     assert "symbols" in got[5][1] and got[6][1] == [] and got[7][0]["n_words"] == 200_000
 
 
+def test_which_rules_decide(spark):
+    wrapped = "the workshop is in the\nvillage and it is open to a\nnumber of the visitors"
+    texts = [wrapped, wrapped.replace("\n", " "), "if(!a){to()}\nthe_is[in]={};" * 4, "- the sofa is in it\n- a roof is in the house\n- it is a crown", None]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    rows = quality.text_statistics(d, "text", COMMON).withColumn("r", quality.failures(F.col("stats"))).withColumn("prose", quality.is_prose(F.col("r"))).orderBy("doc_id").collect()
+    assert rows[0]["r"] == ["unpunctuated lines", "short lines"] and not rows[0]["prose"]
+    assert rows[1]["r"] == ["unpunctuated lines"] and rows[1]["prose"]
+    assert "symbols" in rows[2]["r"] and not rows[2]["prose"] and "bullets" in rows[3]["r"] and not rows[3]["prose"] and rows[4]["prose"]
+    assert quality.text_statistics(d.where("false"), "text", COMMON).collect() == [] and quality.text_statistics(d, "text", {}).count() == 5
+
+
 def test_common_words_are_bounded(spark):
     d = spark.createDataFrame([("en", "The"), ("en", "the"), (None, "x"), ("de", None)], "lang string, word string")
     assert quality.common_words(d) == {"en": ["the"]}
