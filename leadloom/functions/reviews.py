@@ -63,4 +63,4 @@ def lead_score(rating: Column, reviews: Column, mood: Column, keywords: Column)
 
 def kept_reviews(texts: Column, least: int, most: int) -> Column:
     """Trimmed distinct reviews of at least `least` characters, cut to `most`."""
-    return F.transform(F.filter(F.array_distinct(F.transform(texts, F.trim)), lambda t: (t != "") & (F.length(t) >= least)), lambda t: F.substring(t, 1, most))
+    return F.transform(F.filter(F.array_distinct(F.transform(texts, lambda t: F.trim(t))), lambda t: (t != "") & (F.length(t) >= least)), lambda t: F.substring(t, 1, most))

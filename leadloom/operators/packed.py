@@ -72,7 +72,7 @@ def delimiter_scores(cell_rows: DataFrame) -> DataFrame:
     hard = list(HARD.values())
     c = _unwrap_cell(F.col("cell"))
     marked = _outside(c, lambda x: F.regexp_replace(x, "|".join(hard), _MARK))
-    d = cell_rows.select("source", c.alias("cell"), F.filter(F.transform(F.split(marked, _MARK, -1), F.trim), lambda x: x != "").alias("raw"))
+    d = cell_rows.select("source", c.alias("cell"), F.filter(F.transform(F.split(marked, _MARK, -1), lambda x: F.trim(x)), lambda x: x != "").alias("raw"))
     d = d.withColumn("outside", F.when((F.size(F.split("cell", '"', -1)) % 2) == 1, F.regexp_replace("cell", '"[^"]*+"', "")).otherwise(F.col("cell")))
     d = d.withColumn("open", F.filter("raw", lambda x: ~x.contains('"')))
     used = []
