@@ -58,8 +58,10 @@ NICKNAMES = {
 GIVEN = frozenset(NICKNAMES.values())
 #: First letters that a given name may be shortened to, its own and those of its short forms.
 INITIALS = {g: "".join(sorted({g[0], *(n[0] for n, x in NICKNAMES.items() if x == g)})) for g in GIVEN}
-#: Domains of web hosts whose customers are subdomains.
-HOSTING = frozenset(["sitebarn.example"])
+#: Towns from which on a registrable domain is taken to be shared: by a web host's customers or a chain's outlets.
+SHARED_TOWNS = 3
+#: Rows up to which a table, counted first, is sent to all tasks.
+SENT_ROWS = 50_000
 
 _TRADE_OF = {w: t for t, words in TRADES.items() for w in words.split() if w not in _SIDE}
 _SIDE_OF = {w: [t for t, words in TRADES.items() if w in words.split()] for w in _SIDE}
@@ -276,19 +278,43 @@ def bare_host(url: str) -> str:
     return _PORT.sub("", host).strip(".").removeprefix("www.")
 
 
-def host_name(website: str | None, town: str) -> tuple[str, str]:
-    """(name, trade) spelled by a site's own host, both "" where the host is shared by other businesses.
+def base_of(url: str | None) -> str:
+    """The registrable part of a URL's host, its last two labels; "" for none."""
+    labels = bare_host(url).split(".") if url else []
+    return ".".join(labels[-2:]) if len(labels) > 1 else ""
 
-    The town or its beginning at the host's end goes; a customer's subdomain of a web host is its own host.
+
+def _with_base(df: DataFrame, website: str) -> DataFrame:
+    @F.pandas_udf("string")
+    def base(sites: pd.Series) -> pd.Series:
+        return sites.map(base_of, na_action=None)
+
+    return df.withColumn("_base", base(F.col(website)))
+
+
+def shared_domains(df: DataFrame, website: str, town: str) -> DataFrame:
+    """(_base, shared) of the registrable domains that the rows of `df` have in SHARED_TOWNS towns or more."""
+    places = _with_base(df.select(website, town), website).where(F.col("_base") != "").select("_base", F.lower(F.trim(F.col(town))).alias("_town")).where("_town <> ''").distinct()
+    return cut(places.groupBy("_base").count().where(F.col("count") >= SHARED_TOWNS).select("_base", F.lit(True).alias("shared")))
+
+
+def with_shared(df: DataFrame, website: str, shared: DataFrame) -> DataFrame:
+    """`df` with `shared`: whether its website's domain is one of shared_domains(), which are counted before they are sent to all tasks."""
+    d = _with_base(df, website).join(F.broadcast(shared) if shared.count() <= SENT_ROWS else shared, "_base", "left").drop("_base")
+    return d.withColumn("shared", F.coalesce("shared", F.lit(False)))
+
+
+def host_name(website: str | None, town: str, shared: bool = False) -> tuple[str, str]:
+    """(name, trade) spelled by a site's own host, both "" where its domain is shared and the host no customer's subdomain.
+
+    The town or its beginning at the host's end goes.
     """
     if not website:
         return "", ""
     labels = bare_host(website).split(".")
-    if ".".join(labels[-2:]) in HOSTING:
-        label = labels[-3] if len(labels) > 2 else ""
-    else:
-        label = labels[-2] if len(labels) > 1 else ""
-    if not label or label.endswith("-group"):
+    at = -3 if shared else -2
+    label = labels[at] if len(labels) >= -at else ""
+    if not label:
         return "", ""
     place = "".join(_place_words(town))
     label = fold(label)
@@ -319,19 +345,22 @@ _PARTS = "core array<string>, given string, trade string, latin boolean, host st
 
 
 def parsed(df: DataFrame, name: str, category: str, town: str, website: str) -> DataFrame:
-    """`df` with a struct column `parts`: core words, given name or initial, trade, latin, and the name its host spells."""
+    """`df` with a struct column `parts`: core words, given name or initial, trade, latin, and the name its host spells.
+
+    Hosts on domains that are met in several towns spell no name but that of a subdomain.
+    """
 
     @F.pandas_udf(f"struct<{_PARTS.replace(' array', ': array').replace(' string', ': string').replace(' boolean', ': boolean')}>")
-    def parse(names: pd.Series, categories: pd.Series, towns: pd.Series, sites: pd.Series) -> pd.DataFrame:
+    def parse(names: pd.Series, categories: pd.Series, towns: pd.Series, sites: pd.Series, shared: pd.Series) -> pd.DataFrame:
         out = []
-        for n, c, t, s in zip(names, categories, towns, sites):
+        for n, c, t, s, x in zip(names, categories, towns, sites, shared):
             p = parse_name(n, c, t or "")
-            p["host"], trade = host_name(s, t or "")
+            p["host"], trade = host_name(s, t or "", x)
             p["trade"] = p["trade"] or trade
             out.append(p)
         return pd.DataFrame(out, columns=["core", "given", "trade", "latin", "host"])
 
-    return df.withColumn("parts", parse(name, category, town, website))
+    return with_shared(df, website, shared_domains(df, website, town)).withColumn("parts", parse(name, category, town, website, "shared")).drop("shared")
 
 
 def metric_pairs(points: DataFrame, radius: int = RADIUS) -> DataFrame:

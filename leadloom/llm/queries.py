@@ -33,18 +33,15 @@ def p4_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.with_surrogates(reviews, "record_id", "top_review", SECRET)
 
 
-def _keyed(df: DataFrame) -> DataFrame:
-    """Identity fields in one form, one row a record: the one first accepted or first to arrive."""
-    return history.keyed(df.where("record_id is not null"))
-
-
 def _history_and_batches(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     fields = ["record_id", "kgmid", "canonical_domain", "normalized_phone", "name_key", "city", "raw_json"]
     old = table(spark, sf_dir, "records").where("stage = 'committed'").select(*fields, F.coalesce("committed_row", F.lit(0)).cast("double").alias("ord"))
     new = table(spark, sf_dir, "incoming").select(*fields, F.col("batch_no").alias("batch"), F.col("seq_no").cast("double").alias("ord"))
     first = new.groupBy("record_id").agg(F.min("ord").alias("ord"))
     new = new.join(first, ["record_id", "ord"], "left_semi")
-    return _keyed(old).withColumn("id", F.col("record_id")), _keyed(new).withColumn("id", F.col("record_id"))
+    old, new = (d.where("record_id is not null").withColumn("id", F.col("record_id")) for d in (old, new))
+    shared = history.domains_shared(old, new)
+    return history.keyed(old, shared), history.keyed(new, shared)
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,8 +50,8 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
-    old, _ = _history_and_batches(spark, sf_dir)
-    return history.HistoryIndex.of(old.select("town", F.lit(0).alias("shard"), F.lit(0).alias("batch"), "id", "ord", "k")).recalls()
+    old, new = _history_and_batches(spark, sf_dir)
+    return history.indexed(old).recalls(new)
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
