@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leadloom.functions import reviews, text, web
+from leadloom.functions.panel import digits_to_intl
 from leadloom.operators import identity
-from leadloom.schema import LEAD_COLUMNS, MISSING
+from leadloom.schema import LEAD_COLUMNS, MISSING, SOCIAL_COLUMNS
 from leadloom.sources.tables import present
 
 CONTROL = r"[\x00-\x08\x0b\x0c\x0e-\x1f]"
@@ -17,10 +18,14 @@ def normalise(listings: DataFrame) -> DataFrame:
     """Listings with text, URL, phone and numbers in one form each, and their identity; NULL for what is missing."""
     have = set(listings.columns)
     col = lambda n: F.col(n) if n in have else F.lit(None).cast("string")
-    plain = ["business_name", "category", "address", "full_address", "city", "state", "postal_code", "claimed_status", "business_status", "place_id", "kgmid"]
+    plain = ["business_name", "category", "address", "full_address", "city", "state", "postal_code", "claimed_status", "business_status", "place_id", "kgmid", "cid", "plus_code", "business_hours", "latest_image_upload", "by_owner_photos", "has_recent_post", "latest_post_date"]
+    urls = ["website", "google_maps_url", "cover_image_url", *SOCIAL_COLUMNS]
     d = listings.select(
         *[text.normalize_text(present(col(c).cast("string"))).alias(c) for c in plain],
-        web.normalize_url(col("website")).alias("website"),
+        *[(web.normalize_url(col(c)) if c in have else F.lit(None).cast("string")).alias(c) for c in urls],
+        digits_to_intl(present(col("phone_international"))).alias("phone_international"),
+        F.coalesce(present(col("source_location")), F.nullif(text.query_location(col("query")), F.lit(""))).alias("source_location"),
+        F.coalesce(present(col("keyword")), text.query_keyword(col("query"))).alias("source_keyword"),
         F.upper(present(col("country"))).alias("country"),
         web.normalize_phone(col("phone"), F.upper(present(col("country")))).alias("phone"),
         F.when(col("latitude").cast("string").try_cast("double").between(-90, 90), col("latitude").cast("string").try_cast("double")).alias("latitude"),
@@ -64,7 +69,7 @@ def export_columns(df: DataFrame, extra: list[str] | None = None) -> DataFrame:
 def leads_of(listings: DataFrame) -> DataFrame:
     """One lead for each identity in `listings`: the first by query and position."""
     d = with_review_analysis(normalise(listings)).select("*", F.col("identity.identity_key").alias("identity_key"))
-    order = F.struct("position", "source_query", "place_id", "business_name", "phone", "address")
+    order = F.struct("source_query", "position", "place_id", "business_name", "phone", "address")
     d = d.withColumn("_order", order)
     first = d.where("identity_key is not null").groupBy("identity_key").agg(F.min_by(F.struct(*d.columns), "_order").alias("r")).select("r.*")
     return first.unionByName(d.where("identity_key is null")).drop("_order")

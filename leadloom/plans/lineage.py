@@ -8,12 +8,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The checkpoint folder of the session; a temporary one is set only where none is, as in tests."""
+    """The checkpoint folder of the session. Where none is set a temporary one is, but only on one machine: executors couldn't share it."""
     sc = spark.sparkContext
     now = sc._jsc.sc().getCheckpointDir()
     if now.isDefined():
         return now.get()
-    sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or f"file://{tempfile.mkdtemp(prefix='leadloom-')}")
+    folder = sc.getConf().get("spark.checkpoint.dir")
+    if not folder and not (sc.master or "").startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+    sc.setCheckpointDir(folder or f"file://{tempfile.mkdtemp(prefix='leadloom-')}")
     return sc._jsc.sc().getCheckpointDir().get()
 
 

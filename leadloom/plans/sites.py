@@ -9,14 +9,12 @@ from pyspark.sql import functions as F
 from leadloom.functions import markup, text, web
 from leadloom.schema import SOCIAL_COLUMNS
 
-#: Pages of a site that are read at most.
-MOST_PAGES = 50
 
 
 def page_emails(html: Column, site: Column) -> Column:
-    """A page's usable addresses in order: mail links first, then those in its visible text."""
+    """A page's usable addresses in order: mail links, then linked data, then its visible text without testimonials and comments."""
     linked = F.transform(F.filter(markup.attributes(html, "a", "href"), lambda h: F.lower(h).startswith("mailto:")), lambda h: web.normalize_email(F.regexp_replace(F.substring(h, F.lit(8), F.length(h)), r"\?.*$", "")))
-    found = F.array_distinct(F.array_compact(F.concat(linked, web.emails_in(text.strip_tags(html)))))
+    found = F.array_distinct(F.array_compact(F.concat(linked, web.emails_in(markup.linked_data(html)), web.emails_in(text.strip_tags(markup.without_voices(html))))))
     return F.filter(found, lambda e: web.email_rejection(e, site).isNull())
 
 
@@ -30,8 +28,8 @@ def _on(platform: str):
     return lambda u: F.coalesce(web.platform_of(u) == platform, F.lit(False))
 
 
-def site_rows(pages: DataFrame, early_stop: bool = False) -> DataFrame:
-    """A row a site from `pages` (site, page_order, html, status): what its first MOST_PAGES pages have together.
+def site_rows(pages: DataFrame, early_stop: bool = False, max_pages: int | None = None) -> DataFrame:
+    """A row a site from `pages` (site, page_order, html, status): what its pages have together, of the first `max_pages` where that is given.
 
     With early_stop the pages after the first at which both an address and a profile are known are left out.
     Emails are distinct in page order, a platform's profile is the first one, technologies and signals are
@@ -40,7 +38,8 @@ def site_rows(pages: DataFrame, early_stop: bool = False) -> DataFrame:
     """
     order = W.partitionBy("site").orderBy("page_order", "url")
     p = pages.where("site is not null").select("site", "page_order", "url", F.coalesce("html", F.lit("")).alias("html"), "status")
-    p = p.withColumn("n", F.row_number().over(order)).where(F.col("n") <= MOST_PAGES)
+    p = p.withColumn("n", F.row_number().over(order))
+    p = p if max_pages is None else p.where(F.col("n") <= max_pages)
     p = p.withColumn("emails", page_emails(F.col("html"), F.col("site"))).withColumn("profiles", page_profiles(F.col("html")))
     if early_stop:
         has = (F.size("emails") > 0).cast("int"), F.coalesce(*[F.col(f"profiles.{s}") for s in SOCIAL_COLUMNS]).isNotNull().cast("int")
@@ -48,7 +47,7 @@ def site_rows(pages: DataFrame, early_stop: bool = False) -> DataFrame:
         p = p.withColumn("_e", F.coalesce(F.max(has[0]).over(before), F.lit(0))).withColumn("_s", F.coalesce(F.max(has[1]).over(before), F.lit(0))).where("_e = 0 or _s = 0")
     signals = markup.page_signals(F.col("html"))
     p = p.select("site", "n", "url", "status", "emails", "profiles", markup.technologies(F.col("html")).alias("tech"), signals.alias("signals"))
-    names = [*markup.TAGS, "booking_system", *[f"signal_{k}" for k in markup.KEYWORD_SIGNALS]]
+    names = [*markup.TAG_SOURCES, "booking_system", *[f"signal_{k}" for k in markup.KEYWORD_SIGNALS]]
     first = lambda c: F.min_by(c, F.when(c.isNotNull(), F.col("n")))
     ordered = lambda c: F.array_distinct(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("n", c))), lambda x: x[c])))
     d = p.groupBy("site").agg(
