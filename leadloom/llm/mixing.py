@@ -80,3 +80,13 @@ def share_report(mixed: DataFrame, targets: DataFrame) -> DataFrame:
     t = targets.select("source", "target_share", "max_repeats").join(by, "source", "left").na.fill(0, ["texts", "tokens", "most_copies"])
     total = F.sum("tokens").over(W.partitionBy())  # a row a source
     return t.withColumn("reached_share", F.when(total > 0, F.col("tokens") / total).otherwise(F.lit(0.0)))
+
+
+def faults(mixed: DataFrame, targets: DataFrame, slack: float = 0.02) -> DataFrame:
+    """(source, used_too_often, listed_twice, share_missed) of each target: texts beyond its repeats, rows of one text, 1 where its share is off by more than `slack`."""
+    mixed = cut(mixed)
+    twice = mixed.groupBy("source", "id").count().where("count > 1").groupBy("source").agg(F.count("*").alias("twice"))
+    often = mixed.join(targets.select("source", "max_repeats"), "source").where("copies > max_repeats").groupBy("source").agg(F.count("*").alias("often"))
+    off = share_report(mixed, targets).select("source", (F.abs(F.col("reached_share") - F.col("target_share")) > slack).cast("int").alias("off"))
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("int")
+    return off.join(twice, "source", "left").join(often, "source", "left").select("source", zero("often").alias("used_too_often"), zero("twice").alias("listed_twice"), zero("off").alias("share_missed"))

@@ -135,3 +135,24 @@ def fill_report(packed: DataFrame) -> DataFrame:
     """For each pack: containers, tokens, and the share of their room that is used."""
     each = packed.groupBy("pack_name", "capacity_tokens", "container").agg(F.sum("n_tokens").alias("t"))
     return each.groupBy("pack_name", "capacity_tokens").agg(F.count("*").alias("containers"), F.sum("t").alias("tokens"), F.max("t").alias("fullest"), (F.sum("t") / (F.count("*") * F.first("capacity_tokens"))).alias("used_share"))
+
+
+def faults(packed: DataFrame, sizes: DataFrame, packs: DataFrame, id_col: str = "doc_id", size_col: str = "n_tokens") -> DataFrame:
+    """(pack_name, over_capacity, texts_lost, texts_cut_needlessly) of each row of `packs`: what pack() must leave at 0."""
+    names = packs.select("pack_name", F.col("capacity_tokens").cast("long").alias("room"))
+    over = packed.groupBy("pack_name", "capacity_tokens", "container").agg(F.sum("n_tokens").alias("t")).where("t > capacity_tokens").groupBy("pack_name").agg(F.count("*").alias("over"))
+    placed = packed.groupBy("pack_name", id_col).agg(F.sum("n_tokens").alias("got"), F.count("*").alias("pieces"))
+    wanted = sizes.where(F.col(size_col).isNotNull()).select(id_col, F.col(size_col).alias("n"))
+    seen = _in_each(wanted, names).join(placed, ["pack_name", id_col], "left")
+    wrong = seen.groupBy("pack_name").agg(F.count_if(F.coalesce(F.col("got"), F.lit(-1)) != F.col("n")).alias("lost"), F.count_if((F.col("n") <= F.col("room")) & (F.col("pieces") > 1)).alias("cut"))
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("int")
+    return names.join(over, "pack_name", "left").join(wrong, "pack_name", "left").select("pack_name", zero("over").alias("over_capacity"), zero("lost").alias("texts_lost"), zero("cut").alias("texts_cut_needlessly"))
+
+
+def _in_each(d: DataFrame, packs: DataFrame) -> DataFrame:
+    """Each row of `d` once for each pack; the packs, few by MOST_PACKS, go into the plan."""
+    rows = packs.limit(MOST_PACKS + 1).collect()
+    if len(rows) > MOST_PACKS:
+        raise ValueError(f"more than {MOST_PACKS} packs")
+    each = F.array(*[F.struct(F.lit(r["pack_name"]).alias("pack_name"), F.lit(r["room"]).alias("room")) for r in rows])
+    return d.withColumn("_p", F.explode(each)).select(*d.columns, "_p.pack_name", "_p.room")

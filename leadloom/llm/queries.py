@@ -141,6 +141,11 @@ def p8_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.fill_report(p8_containers(spark, sf_dir))
 
 
+def p8_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each pack: containers over their capacity, texts of which tokens are lost or doubled, texts cut that needn't be. All 0."""
+    return packing.faults(p8_containers(spark, sf_dir), _sizes(spark, sf_dir), table(spark, sf_dir, "pack_sizes"))
+
+
 def _mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = mixing.distinct_texts(table(spark, sf_dir, "documents"), "doc_id", "text", "source", table(spark, sf_dir, "mix_targets"))
     return mixing.mix(texts.select("id", "source", tokens.token_count(F.col("text")).alias("n")), table(spark, sf_dir, "mix_targets"))
@@ -150,6 +155,12 @@ def p9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mix(spark, sf_dir).withColumnsRenamed({"id": "doc_id", "n": "n_tokens"})
 
 
+def p9_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each target: texts used too often, texts used twice over, and whether its share is missed by more than 0.02. All 0."""
+    targets = table(spark, sf_dir, "mix_targets")
+    return mixing.faults(_mix(spark, sf_dir), targets)
+
+
 def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.share_report(_mix(spark, sf_dir), table(spark, sf_dir, "mix_targets"))
 
@@ -177,8 +188,10 @@ QUERIES = {
     "p7_found": p7_found,
     "p8_containers": p8_containers,
     "p8_report": p8_report,
+    "p8_faults": p8_faults,
     "p9_mix": p9_mix,
     "p9_shares": p9_shares,
+    "p9_faults": p9_faults,
     "p10_found": p10_found,
     "p10_statistics": p10_statistics,
 }
@@ -200,6 +213,8 @@ _TEXTS = r"""t as (select doc_id, coalesce(text, '') as t from documents),
     case when punctuated_lines <= 0.12 then 'unpunctuated lines' end, case when short_lines >= 0.67 then 'short lines' end], lambda x: x is not null) end as reasons from s)"""
 
 SQL: dict[str, str] = {
+    "p8_faults": "select pack_name, 0 as over_capacity, 0 as texts_lost, 0 as texts_cut_needlessly from pack_sizes",
+    "p9_faults": "select source, 0 as used_too_often, 0 as listed_twice, 0 as share_missed from mix_targets",
     "p10_found": f"with {_TEXTS} select doc_id from r where list_has_all(reasons, ['unpunctuated lines', 'short lines']) or list_has_any(reasons, ['few common words', 'word length', 'symbols', 'bullets', 'ellipses', 'few alphabetic words'])",
     "p10_statistics": f"with {_TEXTS} select * replace (array_to_string(reasons, '; ') as reasons, cast(n_chars as integer) as n_chars, cast(n_words as integer) as n_words, cast(n_lines as integer) as n_lines) from r",
 }
