@@ -50,10 +50,11 @@ def _kind(piece: Column) -> Column:
     return F.when(p.rlike(r"^\S+@\S+\.\w{2,}$"), "<email>").when(p.rlike(r"^https?://\S+$"), "<url>").otherwise(p)
 
 
-def cells(df: DataFrame, key: str, fields: list[str]) -> DataFrame:
-    """(key, source, cell) of the non-missing cells of `fields`; each field is a source of its own."""
+def cells(df: DataFrame, key: str, fields: list[str], carried: list[str] | None = None) -> DataFrame:
+    """(key, source, cell) of the non-missing cells of `fields`, and the columns to be carried along; each field is a source of its own."""
     pairs = F.explode(F.array(*[F.struct(F.lit(f).alias("source"), F.col(f).alias("cell")) for f in fields])).alias("p")
-    return df.select(F.col(key), pairs).select(key, "p.source", "p.cell").where(~is_missing(F.col("cell")))
+    more = carried or []
+    return df.select(F.col(key), *more, pairs).select(key, *more, "p.source", "p.cell").where(~is_missing(F.col("cell")))
 
 
 def _pieces_split_by(texts: Column, pattern: str) -> Column:
@@ -111,16 +112,16 @@ def inferred_delimiters(cell_rows: DataFrame) -> dict[str, list[str]]:
     return {s: [n for n in CANDIDATES if n in names] for s, names in out.items()}
 
 
-def unpack(df: DataFrame, key: str, fields: list[str]) -> DataFrame:
-    """(key, field_name, pos, item): a row for every value of every non-missing cell of `fields`, pos from 1.
+def unpack(df: DataFrame, key: str, fields: list[str], carried: list[str] | None = None) -> DataFrame:
+    """(key, field_name, pos, item): a row for every value of every non-missing cell of `fields`, pos from 1; columns to be `carried` along follow.
 
     Wrapping quotes and brackets go, a doubled quote inside quotes is one, empty pieces take no position,
     and delimiters inside quotes belong to the value. NULL and missing cells and empty tables give no rows.
     """
-    rows = cells(df, key, fields)
+    rows = cells(df, key, fields, carried)
     taken = inferred_delimiters(rows.select("source", "cell"))
     by_source = F.lit(None).cast("array<string>")
     for f in fields:
         by_source = F.when(F.col("source") == f, split_cell(F.col("cell"), [CANDIDATES[n] for n in taken.get(f, [])])).otherwise(by_source)
-    out = rows.select(key, F.col("source").alias("field_name"), F.posexplode(by_source).alias("pos", "item"))
+    out = rows.select(key, F.col("source").alias("field_name"), F.posexplode(by_source).alias("pos", "item"), *(carried or []))
     return out.withColumn("pos", F.col("pos") + 1)

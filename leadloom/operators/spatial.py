@@ -174,3 +174,11 @@ def regions_of_points(points: DataFrame, regions: DataFrame, id_col: str, ring_c
     sure = hits.where("inside").select("id", "region_id")
     edge = hits.where("not inside").join(rings, "region_id").where(geo.point_in_ring(F.col("lat"), F.col("lon"), F.col("ring"))).select("id", "region_id")
     return sure.unionByName(edge)
+
+
+def within_regions(df: DataFrame, key: str, lat: str, lon: str, regions: DataFrame, region_id: str, ring: str) -> DataFrame:
+    """Rows of `df` (unique key) that lie in a region, and those without a readable location, which nothing is known against."""
+    points = located(df, key, lat, lon)
+    inside = regions_of_points(points, regions, region_id, ring).select(F.col("id").alias(key)).distinct()
+    nowhere = df.select(key).join(points.select(F.col("id").alias(key)), key, "left_anti")
+    return df.join(inside.unionByName(nowhere), key, "left_semi")

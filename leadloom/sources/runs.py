@@ -95,8 +95,8 @@ def trial_listings(spark: SparkSession, rows: int, query: str = "trial") -> Data
 
 def run_rates(done: DataFrame, started: str, ended: str) -> DataFrame:
     """(rows, seconds, rows_a_second, mean_seconds, longest_seconds) of rows with their times of begin and end."""
-    spent = F.col(ended).cast("double") - F.col(started).cast("double")
-    whole = F.max(F.col(ended).cast("double")) - F.min(F.col(started).cast("double"))
+    begun, over = (F.col(c).cast("timestamp").cast("double") for c in (started, ended))
+    spent, whole = over - begun, F.max(over) - F.min(begun)
     return done.agg(F.count("*").alias("rows"), whole.alias("seconds"), F.when(whole > 0, F.count("*") / whole).alias("rows_a_second"), F.avg(spent).alias("mean_seconds"), F.max(spent).alias("longest_seconds"))
 
 
