@@ -16,7 +16,7 @@ def test_name_parts():
     assert names.parse_name("wickfedaceroofing", None, "")["core"] == ["wickfedace"]
     assert names.parse_name(None, None, "")["core"] == [] and not names.parse_name("Кафе Ромелька 2", "", "")["latin"]
     assert names.host_name("https://www.kasfeplumbing-langan.example/home", "langan") == ("kasfe", "plumbing")
-    assert names.host_name("http://wenmiashan.sitebarn.example", "ashanfield") == ("wenmi", "") and names.host_name("https://x-group.example", "") == ("", "")
+    assert names.host_name("http://wenmiashan.pages.example", "ashanfield", True) == ("wenmi", "") and names.host_name("https://chain.example", "", True) == ("", "")
 
 
 def _edits(a, b):
@@ -94,6 +94,13 @@ def test_same_place_by_mined_rewrites(spark):
     assert got == {(a, b) for g in groups for a in g for b in g if a < b}
 
 
+def test_shared_domains_come_from_the_data(spark):
+    rows = [(f"r{i}", f"www.shop{i}.unseen-host.example", t) for i, t in enumerate("abc")] + [("c1", "https://chain.example", "a"), ("c2", "chain.example/x", "b"), ("c3", "CHAIN.example", "c"), ("o1", "own.example", "a"), ("o2", "own.example", "b"), ("n", None, "a"), ("e", "", None)]
+    d = spark.createDataFrame(rows, "id string, site string, town string")
+    got = {r["id"]: r["shared"] for r in names.with_shared(d, "site", names.shared_domains(d, "site", "town")).collect()}
+    assert {k for k, v in got.items() if v} == {"r0", "r1", "r2", "c1", "c2", "c3"} and len(got) == 10
+
+
 def test_streets_that_share_numbers_are_no_rewrites(spark):
     """Real streets of one postal zone meet at many numbers, but each is attested without the other far more often."""
     rows, n = [], 0
