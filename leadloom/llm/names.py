@@ -376,7 +376,7 @@ def metric_pairs(points: DataFrame, radius: int = RADIUS) -> DataFrame:
     n = strings.groupBy("block").agg(F.count("*").alias("n"))
     pivots = F.least(F.ceil(F.col("n") / CELL_POINTS), F.lit(MOST_PIVOTS))
     drawn = strings.join(n.where(F.col("n") > CELL_POINTS), "block").where(F.pmod(F.xxhash64("s"), F.col("n")) < pivots)
-    by_block = drawn.groupBy("block").agg(F.sort_array(F.collect_set("s")).alias("pivots"))
+    by_block = cut(drawn.groupBy("block").agg(F.sort_array(F.collect_set("s")).alias("pivots")))
     # a block without pivots has one, the empty string, whose distance is the length
     d = points.join(by_block, "block", "left").withColumn("pivots", F.coalesce("pivots", F.array(F.lit(""))))
     d = d.withColumn("far", F.transform("pivots", lambda v: F.levenshtein(F.col("s"), v))).withColumn("home", F.array_min("far"))
@@ -438,7 +438,7 @@ def linked_records(records: DataFrame) -> DataFrame:
     known = points.select("town", "trade").where("trade <> ''").distinct()
     everywhere = points.where("trade = ''").drop("trade").join(known, "town")
     points = points.unionByName(everywhere)
-    points = points.select(F.concat_ws("|", "town", "trade").alias("block"), F.col("x.s").alias("s"), F.struct("node", F.col("x.kind").alias("kind"), "given", "host").alias("p"))
+    points = cut(points.select(F.concat_ws("|", "town", "trade").alias("block"), F.col("x.s").alias("s"), F.struct("node", F.col("x.kind").alias("kind"), "given", "host").alias("p")))
     short = F.length("s") < SHORTEST
     pairs = metric_pairs(points.where(~short)).unionByName(equal_pairs(points.where(short)))
     a, b = F.col("l.kind"), F.col("r.kind")
