@@ -162,3 +162,15 @@ def test_short_names_are_linked_when_equal(spark):
     of = {r["record_id"]: r["entity"] for r in names.linked_records(names.parsed(d, "name", "category", "town", "website")).collect()}
     assert of["a1"] == of["a2"] == of["a5"] and of["c1"] == of["c2"] and of["u1"] == of["u2"]
     assert len({of["a1"], of["a3"], of["a4"]}) == 3
+
+
+def test_slips_are_found_as_by_trying_all_words():
+    rng = random.Random(5)
+    lexicon = names._lexicon()
+    words = sorted({w for kind, _, _ in lexicon.kinds for w in kind})
+    for w in rng.sample(words, 60):
+        for _ in range(4):
+            i, c = rng.randrange(len(w)), rng.choice("aeknrstü")
+            w = rng.choice([w[:i] + w[i + 1 :], w[:i] + c + w[i:], w[:i] + c + w[i + 1 :], w[:i] + w[i + 1 : i + 2] + w[i] + w[i + 2 :]]) or c
+            near = [[(d, x, kind[x]) for x in kind if len(x) >= least and x[0] in w[:2] and (d := names.distance(w, x, most := 2 if len(x) >= long else 1)) <= most] for kind, least, long in lexicon.kinds]
+            assert lexicon.find(w) == tuple(kind[w] if w in kind else min(n, default=("",))[-1] for (kind, _, _), n in zip(lexicon.kinds, near))
